@@ -9,6 +9,9 @@ from seasonspark.llm.scratch import Scratch
 
 #: Cells of one histogram level of the order statistic.
 CELLS = 2048
+#: Documents that may fill what the last whole one in order leaves of a source's residual.
+FITS = 3
+_PLACES = "array<struct<order:double,doc_id:bigint,size:bigint>>"
 
 
 def word_count(text: Column) -> Column:
@@ -62,7 +65,7 @@ def _expected_copies(sizes: DataFrame, goals: DataFrame, max_copies: int, scratc
 
 
 def _cut(rest: DataFrame, scratch: Scratch) -> DataFrame:
-    """Per source the order statistic at which the running size passes the half-way mark of the last document.
+    """Per source the cell of the order statistic in which the running size passes the residual.
 
     ``rest(source, residual, order, tie, size)``, order in (0, 1). Two histograms find the cell in which
     the residual runs out, whatever the source's share of the rows; only that cell is sorted.
@@ -92,15 +95,15 @@ def mix(
     A source's target divided among its documents gives each an expected number of copies (all the
     same, or proportional to ``propensity``). Its whole part is certain. The fraction is the inclusion
     odds of one more copy: documents are ranked by random odds over inclusion odds, u/(1-u) / (p/(1-p)),
-    and taken in this order until the source's residual words are reached as nearly as whole documents
-    allow. Random numbers are hashes of seed and id: reruns agree.
+    and taken in this order as long as the source's residual words hold them; up to three more, each the
+    largest that fits into what is left, close the gap. Random numbers are hashes of seed and id: reruns agree.
 
     Null text: size 0, nothing to take. Null source: a source of its own. Null or repeated ids are
     ranked as they are, ties by size; of rows equal in id and size all or none get the extra copy.
     Nothing is dropped: rows that are not taken have 0 copies. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *([propensity.alias("propensity")] if propensity is not None else []), *carry)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *([propensity.alias("propensity")] if propensity is not None else []), *carry)
     rows = scratch.table(rows, "sizes")
     goals = scratch.table(targets(rows, weights, max_ratio), "targets")
     if propensity is None:
@@ -123,11 +126,26 @@ def mix(
     marks = rest.drop("residual").join(cut, rest.source.eqNullSafe(cut.source)).drop(cut.source)
     inside = marks.where((F.col("order") >= F.col("low")) & (F.col("order") < F.col("low") + F.col("width")))
     run = F.sum("size").over(Window.partitionBy("source").orderBy("order", "doc_id", "size"))
-    inside = inside.withColumn("run", F.col("before") + run).where("run - size / 2 <= residual")
-    last = inside.groupBy("source").agg(F.max(F.struct("order", "doc_id", "size")).alias("x"))
-    ends = cut.join(last, cut.source.eqNullSafe(last.source), "left").select(cut.source.alias("s"), F.col("low").alias("below"), F.col("x.order").alias("last"), F.struct("x.order", "x.doc_id", "x.size").alias("end"))
+    inside = inside.withColumn("run", F.col("before") + run).where("run <= residual")
+    last = inside.groupBy("source").agg(F.max(F.struct("order", "doc_id", "size", "run")).alias("x"))
+    ends = cut.join(last, cut.source.eqNullSafe(last.source), "left")
+    gap = F.col("residual") - F.coalesce("x.run", "before")
+    ends = ends.select(cut.source.alias("s"), F.col("low").alias("below"), F.when(F.col("x").isNotNull(), F.struct("x.order", "x.doc_id", "x.size")).alias("end"), gap.alias("gap"))
     ends = scratch.table(ends, "ends")
-    taken = at.join(ends, F.col("source").eqNullSafe(F.col("s")), "left")
-    extra = (F.col("order") < F.col("below")) | (F.col("last").isNotNull() & (F.struct("order", "doc_id", "size") <= F.col("end")))
-    copies = F.col("certain") + F.when(F.col("order").isNotNull() & F.coalesce(extra, F.lit(False)), 1).otherwise(0)
+    place = F.struct("order", "doc_id", "size")
+    inside = F.coalesce((F.col("order") < F.col("below")) | (place <= F.col("end")), F.lit(False))
+    ranked = at.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("inside", inside).drop("s", "below", "end")
+    ranked = scratch.table(ranked, "ranked")
+    gaps = ends.select(F.col("s"), "gap", F.array().cast(_PLACES).alias("fits"))
+    for _ in range(FITS):
+        open_ = ranked.where("order is not null and not inside").select("source", "order", "doc_id", "size")
+        open_ = open_.join(gaps, F.col("source").eqNullSafe(F.col("s"))).where((F.col("size") <= F.col("gap")) & ~F.array_contains("fits", place))
+        fit = open_.groupBy("source").agg(F.max(F.struct("size", -F.col("order"), place.alias("place"))).alias("x")).select("source", "x.place")
+        gaps = gaps.join(fit, F.col("source").eqNullSafe(F.col("s")), "left")
+        found = F.col("place").isNotNull()
+        gaps = gaps.select("s", F.when(found, F.col("gap") - F.col("place.size")).otherwise(F.col("gap")).alias("gap"), F.when(found, F.concat("fits", F.array("place"))).otherwise(F.col("fits")).alias("fits"))
+        gaps = scratch.table(gaps, "gaps")
+    taken = ranked.drop("gap").join(gaps, F.col("source").eqNullSafe(F.col("s")), "left")
+    extra = F.col("order").isNotNull() & (F.col("inside") | F.coalesce(F.array_contains("fits", place), F.lit(False)))
+    copies = F.col("certain") + F.when(extra, 1).otherwise(0)
     return taken.select("doc_id", "size", "source_size", "target", "source", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *carry)

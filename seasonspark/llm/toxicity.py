@@ -70,16 +70,34 @@ class Model:
         return float(min(1.0, max(0.0, 1 - clean))), [(*spans[i], float(p[i])) for i in np.flatnonzero(p >= 0.5).tolist()]
 
 
-def train(texts: list[bytes], labels: list[int], *, epochs: int = 8, rate: float = 0.3, l2: float = 1e-6, least_documents: int = 5, seed: int = 3) -> Model:
-    """AdaGrad on the noisy-or likelihood of the document labels; features of fewer documents keep weight 0."""
+def _telling(split: list, labels: list[int], hashed: dict[bytes, list[int]], evidence: float) -> set[int]:
+    """Features by the G statistic of presence against label."""
+    n, counts = Counter(labels), {0: Counter(), 1: Counter()}
+    for d, y in zip(split, labels, strict=True):
+        counts[y].update({f for s in d for w in s for f in hashed[w]})
+    total, found = len(labels), set()
+    for f in counts[0].keys() | counts[1].keys():
+        a, b = counts[1][f], counts[0][f]
+        cells = ((a, a + b, n[1]), (b, a + b, n[0]), (n[1] - a, total - a - b, n[1]), (n[0] - b, total - a - b, n[0]))
+        if a + b > 2 and 2 * sum(x * np.log(x * total / (r * c)) for x, r, c in cells if x) >= evidence:
+            found.add(f)
+    return found
+
+
+def train(texts: list[bytes], labels: list[int], *, epochs: int = 8, rate: float = 0.3, l2: float = 1e-6, evidence: float = 8.0, seed: int = 3) -> Model:
+    """AdaGrad on the noisy-or likelihood of the document labels.
+
+    Features whose presence in documents tells too little about the label (likelihood ratio below
+    ``evidence``) keep weight 0, so that a long text does not add up chance findings.
+    """
     split = [[sorted(words) for _, _, words in sentences(t)] for t in texts]
     hashed = {w: features(w) for d in split for s in d for w in s}
-    seen = Counter(f for d in split for f in {f for s in d for w in s for f in hashed[w]})
-    weights, power, bias, bias_power = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-2), -4.0, 1.0
+    telling = _telling(split, labels, hashed, evidence)
+    weights, power, bias, bias_power = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-2), -8.0, 1.0
     docs = []
     for d, y in zip(split, labels, strict=True):
-        rows = [[f for w in s for f in hashed[w] if seen[f] >= least_documents] for s in d]
-        if rows:
+        rows = [[f for w in s for f in hashed[w] if f in telling] for s in d]
+        if rows:  # a sentence without telling words counts with the bias alone
             docs.append((np.array([f for r in rows for f in r], np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows]), len(rows), y))
     rng = np.random.default_rng(seed)
     positive = sum(d[3] for d in docs)
@@ -92,7 +110,7 @@ def train(texts: list[bytes], labels: list[int], *, epochs: int = 8, rate: float
             p = _sigmoid(bias + np.bincount(at, weights[f], n))
             if y:
                 clean = np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())
-                g = -p * clean / max(1 - clean, 1e-6)
+                g = -p * clean / max(1 - clean, 1e-9)
             else:
                 g = p
             g = g * share[y]
