@@ -7,7 +7,8 @@ from pyspark.sql import types as T
 
 
 def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+    kinds = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(), "date": T.DateType()}
+    return T.StructType([T.StructField(name, kinds[kind]) for name, kind in (field.split() for field in ddl.split(", "))])
 
 
 SCENE = _struct("scene_id string, file string, year int, doy int, acq_date date")

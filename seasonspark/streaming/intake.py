@@ -18,9 +18,9 @@ def distinct_cells(stream: DataFrame, delay: str = "32 days") -> DataFrame:
 
 
 def composites(stream: DataFrame, length: str = "16 days", delay: str = "32 days") -> DataFrame:
-    """Valid cells, count and mean per grid row and window of acquisition time."""
+    """Valid cells, count and mean per grid row and window of acquisition time; repeated cells count once."""
     valid = F.when(F.col("reliability").between(0, 2) & (F.col("ndvi") != -3000), F.col("ndvi"))
     return (
-        stream.withWatermark("acquired", delay).groupBy(F.window("acquired", length), "row")
+        distinct_cells(stream, delay).groupBy(F.window("acquired", length), "row")
         .agg(F.count("*").alias("cells"), F.count(valid).alias("valid"), F.avg(valid).alias("ndvi"))
     )
