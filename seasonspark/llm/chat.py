@@ -61,9 +61,10 @@ def branches(nodes: DataFrame, scratch: Scratch, *, best: int | None, max_depth:
 
     ``nodes(tree, node, parent, score)``. Every round joins the paths with the jumps of 1, 2, 4 ... steps
     and the jumps with themselves, so depth d takes log2(d) rounds. A node whose parent is missing is a
-    root. Rows above ``max_depth`` or in a cycle have no root and give no path.
+    root. Rows above ``max_depth`` or in a cycle have no root and give no path. Of a repeated node's
+    parents the least counts.
     """
-    here = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
+    here = nodes.groupBy("tree", "node").agg(F.min("parent").alias("parent"), F.avg(F.coalesce("score", F.lit(0.0))).alias("score"))
     known = nodes.select("tree", F.col("node").alias("parent")).distinct()
     jumps = scratch.table(here.where("parent is not null").join(known, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("up")), "jumps")
     parents = jumps.select("tree", F.col("up").alias("node")).distinct()

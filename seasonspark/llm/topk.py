@@ -58,7 +58,7 @@ class Postings:
                 out += weights.astype(kind, copy=False) * kind(query[term]) if kind is not object else weights.astype(object) * int(query[term])
             elif len(at):
                 out[at] += (weights[at].astype(object) * int(query[term])) if kind is object else weights[at].astype(kind) * kind(query[term])
-        return out
+        return np.array([max(-LARGEST - 1, min(LARGEST, int(s))) for s in out], np.int64) if kind is object else out
 
 
 def _best(k: int):
@@ -81,7 +81,7 @@ def _best(k: int):
                     pool = pool[own >= least]
                 values = [int(s) for s in scores[pool]]
                 for s, _, i in sorted(zip([-v for v in values], ids[pool].tolist(), pool.tolist(), strict=True))[:k]:
-                    out[0].append(q), out[1].append(None if null[i] else int(ids[i])), out[2].append(max(-LARGEST - 1, min(LARGEST, -s)))
+                    out[0].append(q), out[1].append(None if null[i] else int(ids[i])), out[2].append(-s)
         return pa.table({n: pa.array(v, pa.int64()) for n, v in zip(("query_id", "vec_id", "score"), out, strict=True)})
 
     return run

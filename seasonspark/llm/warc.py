@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from seasonspark.llm.files import AtomicFile, filesystem
 from seasonspark.llm.scratch import Scratch
 
-FILE_BYTES, CHUNK = 1 << 26, 1 << 18
+#: Size at which a file is closed, bytes read at once, and the longest header that is searched for its end.
+FILE_BYTES, CHUNK, HEADER_BYTES = 1 << 26, 1 << 18, 1 << 20
 #: Fixed values of the WARC 1.1 format.
 VERSION, GZIP = b"WARC/1.", b"\x1f\x8b\x08"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -76,7 +77,7 @@ class Salvager:
     def _plain(self, at: int) -> tuple[bytes, int] | None:
         data, pos = b"", at
         while _HEADER_END not in data:
-            more = self.file.read_at(min(CHUNK, self.size - pos), pos) if pos < self.size and len(data) < 4 * CHUNK else b""
+            more = self.file.read_at(min(CHUNK, self.size - pos), pos) if pos < self.size and len(data) < HEADER_BYTES else b""
             if not more:
                 return None
             data, pos = data + more, pos + len(more)
@@ -95,6 +96,8 @@ class Salvager:
             return None
         data, end = got
         head, _, rest = data.partition(_HEADER_END)
+        if re.search(rb"WARC/1\.\d\r\n", head[8:]):  # a cut header that runs on into the next record's
+            return None
         headers = _headers(head)
         length = headers.get("content-length", "")
         if not length.isdigit() or len(rest) != int(length) + 4 or not rest.endswith(_HEADER_END):
