@@ -47,21 +47,21 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], max_ratio: float) -> Dat
 def _expected_copies(sizes: DataFrame, goals: DataFrame, max_copies: int, scratch: Scratch) -> DataFrame:
     """Copies per document, proportional to ``propensity`` and at most ``max_copies``, that take each source's target."""
     classes = scratch.table(sizes.groupBy("source", "propensity").agg(F.sum("size").alias("size")), "classes")
-    scale = goals.select("source", F.lit(0.0).alias("scale"))
+    goal = goals.select(F.col("source").alias("g"), "target")
+    scale = goals.select(F.col("source").alias("s"), F.lit(0.0).alias("scale"))
     seen = -1
     while True:
-        at = classes.join(goals, classes.source.eqNullSafe(goals.source)).drop(goals.source)
-        at = at.join(scale, at.source.eqNullSafe(scale.source)).drop(scale.source)
+        at = classes.join(goal, F.col("source").eqNullSafe(F.col("g"))).join(scale, F.col("source").eqNullSafe(F.col("s")))
         full = F.col("scale") * F.col("propensity") >= max_copies
         sums = at.groupBy("source", "target").agg(
             F.sum(F.when(full, F.col("size")).otherwise(0)).alias("fixed"), F.sum(F.when(~full, F.col("size") * F.col("propensity")).otherwise(0.0)).alias("open"), F.sum(full.cast("int")).alias("n")
         )
         rest = F.greatest(F.col("target") - max_copies * F.col("fixed"), F.lit(0.0))
-        scale = scratch.table(sums.select("source", F.when(F.col("open") > 0, rest / F.col("open")).otherwise(F.lit(1e18)).alias("scale"), "n"), "scale")
-        n = scale.agg(F.sum("n")).first()[0]
+        sums = scratch.table(sums.select(F.col("source").alias("s"), F.when(F.col("open") > 0, rest / F.col("open")).otherwise(F.lit(1e18)).alias("scale"), "n"), "scale")
+        n, scale = sums.agg(F.sum("n")).first()[0], sums.select("s", "scale")
         if n == seen or n is None:
-            return scale.select("source", "scale")
-        seen, scale = n, scale.select("source", "scale")
+            return scale
+        seen = n
 
 
 def _cut(rest: DataFrame, scratch: Scratch) -> DataFrame:
@@ -111,7 +111,7 @@ def mix(
         expected = F.col("scale")
     else:
         scale = _expected_copies(rows, goals, max_ratio, scratch)
-        per = goals.join(scale, goals.source.eqNullSafe(scale.source)).select(goals.source.alias("s"), "source_size", "target", "scale")
+        per = goals.join(scale, F.col("source").eqNullSafe(F.col("s"))).select("s", "source_size", "target", "scale")
         expected = F.least(F.col("scale") * F.col("propensity"), F.lit(float(max_ratio)))
     at = rows.join(per, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("e", expected)
     at = at.withColumn("certain", F.floor("e")).withColumn("p", F.col("e") - F.col("certain"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasonspark.llm import chat, embedding_dedup, minhash, mix, packing, sstable, style_tree, topk, toxicity, warc
+from seasonspark.llm import chat, embedding_dedup, minhash, mix, oracles, packing, sstable, style_tree, topk, toxicity, warc
 from seasonspark.llm.scratch import Scratch
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -101,4 +101,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.sql()

@@ -128,7 +128,7 @@ def test_mix_reaches_its_targets(spark, propensity):
         taken[source[r.doc_id]] += r.taken
     assert len(got) == len(rows)
     for s, t in want.items():
-        assert taken[s] == pytest.approx(t, abs=12)
+        assert taken[s] == pytest.approx(t, abs=40)  # the longest document
 
 
 def test_mix_inclusion_follows_the_odds(spark):
