@@ -25,13 +25,28 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_roots: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables and files of this application. Results that were not written are lost."""
+    conf = spark._jsc.hadoopConfiguration()
+    for root in _roots.pop(spark.sparkContext.applicationId, []):
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(conf).delete(path, True)
+
+
 class Scratch:
-    """Names, writes and drops the intermediate tables of one operator call."""
+    """Names, writes and drops the intermediate tables of one operator call.
+
+    Results are lazy and read them, so they stay until ``release`` or until the shared folder is cleared.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.made = 0
+        _roots.setdefault(spark.sparkContext.applicationId, []).append(self.root)
 
     def path(self, name: str) -> str:
         self.made += 1

@@ -212,7 +212,6 @@ def extract(
     merged = rows.select("host", "html").mapInArrow(_emit_nodes, "host string, path string, style long, content long, n long")
     merged = scratch.table(merged.groupBy("host", "path", "style", "content").agg(F.sum("n").alias("n")), "nodes")
     low = importance(merged).where((F.col("importance") < threshold) & (F.col("pages") >= least_pages))
-    low = scratch.table(low.select("host", "path"), "noise")
     per_host = low.groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("paths"))
     if low.count() <= broadcast_paths:
         rows = rows.join(F.broadcast(per_host), "host", "left")
