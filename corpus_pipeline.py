@@ -29,11 +29,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies on five-word shingles at 0.8: the one with the smallest id.
 
-    Of rows with equal ids one stays; rows without an id or without words are no copies of any.
+    Rows without an id or without words are no copies of any. Rows with equal ids stay or go together;
+    of those with equal texts too, one stays.
     """
-    groups = minhash.near_duplicates(docs, width=5, percent=80)
-    gone = groups.where("not kept and doc_id is not null").select("doc_id").distinct()
-    left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    groups = minhash.near_duplicates(docs, width=5, percent=80).where("doc_id is not null")
+    ids = Scratch(spark, "groups").table(groups.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "ids")
+    left = docs.select(*COLUMNS).join(ids.where("not kept").select("doc_id"), "doc_id", "left_anti")
+    repeated = ids.where("kept and n > 1").select("doc_id")
+    if not repeated.isEmpty():
+        once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        left = left.join(repeated, "doc_id", "left_anti").unionByName(once)
     return left.select(*COLUMNS)
 
 

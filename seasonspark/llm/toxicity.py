@@ -151,7 +151,9 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame
     """``docs`` with ``score`` (0 to 1) and ``offending``, code-point span and score of each sentence at 0.5 or more.
 
     Every sentence of the whole text counts. Null, empty and wordless texts score 0 with no sentence.
+    Columns of these two names are replaced.
     """
+    docs = docs.drop("score", "offending")
     at = docs.columns.index(text_col)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 

@@ -290,3 +290,4 @@ def test_toxicity_without_examples(spark):
         model = toxicity.fit(docs, spark.createDataFrame(rows, "doc_id long, toxic int"), F.lit(True))
         assert toxicity.score(docs, model).first().score < 0.5
     assert toxicity.score(spark.createDataFrame([], DOCS), model).count() == 0
+    assert toxicity.score(docs.withColumn("score", F.lit("old")), model).dtypes[-2] == ("score", "double")

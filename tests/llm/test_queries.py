@@ -136,3 +136,19 @@ def test_pipeline_stage_by_stage(spark, documents, token_ids, tmp_path):
             assert check_pieces(rows, want) < 0.02
             assert Counter(r.doc_id for r in rows if r.start == 0) == mixed
     assert corpus_pipeline.run(spark, SF).count() == len(rows)
+
+
+ODD = [(1, "a b c d e f", "en", "s", 11), (1, "a b c d e f", "en", "s", 11), (2, "a b c d e f", "en", "s", 11), (3, None, "en", None, None), (4, "", None, "s", 0), (None, "a b c d e f", "en", "s", 11), (None, None, None, None, None)]
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    empty = spark.createDataFrame([], kind)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0
+    docs = spark.createDataFrame(ODD, kind).selectExpr("*", "1 AS score", "2 AS size", "3 AS id", "4 AS copies")
+    assert corpus_pipeline.drop_toxic(spark, docs, SF).count() == len(ODD)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "4", "None", "None"]
+    assert corpus_pipeline.mix_sources(spark, docs, SF).columns == list(corpus_pipeline.COLUMNS)
+    assert corpus_pipeline.pack_sequences(spark, docs, SF).select("doc_id").distinct().count() == 5
