@@ -10,7 +10,7 @@ from itertools import chain
 import numpy as np
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
-from tokenizers import Tokenizer, normalizers, pre_tokenizers  # noqa: E402
+from tokenizers import Tokenizer, pre_tokenizers  # noqa: E402
 
 #: Words remembered by one worker, and bytes of text split at once.
 KNOWN_WORDS, SPLIT_BYTES = 500_000, 2_000_000
@@ -18,6 +18,9 @@ KNOWN_WORDS, SPLIT_BYTES = 500_000, 2_000_000
 #: A stop or comma that stands alone between a letter and white space: a token run of its own.
 APART = re.compile(rb"(?<=[a-z])[.,](?=[ \n]|\Z)")
 
+#: Letters and then ASCII punctuation: two token runs.
+TAILED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)")
+
 
 def in_slices(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
     part, size = [], 0
@@ -42,8 +45,7 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.bare = Tokenizer.from_file(path)  # for a-z alone, on which normalizer and byte alphabet do nothing
-        self.bare.normalizer = normalizers.Sequence([])
+        self.bare = Tokenizer(self.tokenizer.model)  # for a-z alone, on which normalizer and byte alphabet do nothing
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab()
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -67,12 +69,23 @@ class WordEncoder:
             yield np.array(e.ids, "<u4").tobytes()
 
     def _learn(self, words: set[bytes]) -> None:
-        plain = [w for w in words if w.isalpha()]
-        rest = words.difference(plain)
-        letters = [w for w in rest if w.decode().isalpha()]
-        others = list(rest.difference(letters))
-        for names, ids in ((plain, self._joined(self.bare, plain)), (letters, self._joined(self.tokenizer, letters)), (others, self._singly(others))):
-            self.known.update(zip(names, ids, strict=True))
+        known, plain, joined = self.known, {w for w in words if w.isalpha()}, []
+        letters, others = set(), set()
+        for w in words - plain:
+            text = w.decode()
+            if text.lower().isalpha():
+                letters.add(w)
+            elif (m := TAILED.fullmatch(text)) and m[1].lower().isalpha():
+                stem, tail = m[1].encode(), m[2].encode()
+                joined.append((w, stem, tail))
+                others.add(tail)
+                (plain if m[1].isascii() else letters).add(stem)
+            else:
+                others.add(w)
+        for names, encoded in ((plain, lambda x: self._joined(self.bare, x)), (letters, lambda x: self._joined(self.tokenizer, x)), (others, self._singly)):
+            names = [x for x in names if x not in known]
+            known.update(zip(names, encoded(names), strict=True))
+        known.update((w, known[stem] + known[tail]) for w, stem, tail in joined)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
