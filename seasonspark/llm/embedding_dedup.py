@@ -16,6 +16,8 @@ from seasonspark.llm.vectors import as_arrays
 
 #: Rows of the sample on which the cells are fit, vectors meant for a cell of one label, cells at most, rows of a block.
 SAMPLE_ROWS, CELL_ROWS, MAX_CELLS, BLOCK_ROWS = 20_000, 1024, 1024, 1024
+#: Bytes of the sample at most.
+SAMPLE_BYTES = 64_000_000
 
 
 def fit_cells(sample: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
@@ -117,7 +119,7 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
 
     Vectors with equal, non-null labels are linked when their cosine in double precision reaches the
     threshold. Equal vectors of a label are one node that counts its rows. Cells are fit by spherical
-    k-means on at most ``SAMPLE_ROWS`` nodes; every node is at home in one cell and visits each cell in
+    k-means on at most ``SAMPLE_ROWS`` nodes (and 64 MB); every node is at home in one cell and visits each cell in
     which a linked vector can be at home, so no link is lost. A cell's home rows are compared with all its
     rows in blocks; each ordered pair meets once. Only counts and spanning links leave a block.
 
@@ -132,8 +134,9 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     nodes = scratch.table(usable.groupBy("label", "key").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.min("unit").alias("unit"), F.min("dim").alias("dim")), "nodes")
     size = nodes.groupBy("label").count().agg(F.max("count"), F.sum("count")).first()
     k = max(1, min(MAX_CELLS, (size[0] or 0) // CELL_ROWS))
-    sample = nodes.orderBy(F.xxhash64("key", F.lit(seed)), "key", "label").limit(SAMPLE_ROWS).select("unit", "dim").collect()
     by_dim: dict[int, list[np.ndarray]] = {r.dim: [] for r in nodes.select("dim").distinct().collect()}
+    most = min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * max(by_dim, default=1)))
+    sample = nodes.orderBy(F.xxhash64("key", F.lit(seed)), "key", "label").limit(most).select("unit", "dim").collect()
     for r in sample:
         by_dim[r.dim].append(np.frombuffer(r.unit))
     centres = {dim: fit_cells(np.array(v), k, seed) if v else np.eye(1, dim) for dim, v in by_dim.items()}

@@ -139,6 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, *, id_col: str = "do
         part = known.where(F.col("y") == y).orderBy(order, id_col).limit(per_class)
         sample = part if sample is None else sample.unionByName(part)
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).where(F.octet_length("text") <= max_bytes).join(F.broadcast(sample), id_col)
+    rows = rows.groupBy(id_col, "y").agg(F.min("text").alias("text"))  # an id may be repeated any number of times
     row = rows.select("text", "y").repartition(1).mapInArrow(_fit, "at binary, weights binary, bias double").first()
     weights = np.zeros(DIMENSIONS, np.float32)
     if row is None:
