@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seasonspark.functions import names, waveforms
 from seasonspark.operators import fitting, frames, grid, orbit, params, phase, quality, series, stats
 from seasonspark.plans import adapters as A
 from seasonspark.sources import text
+from seasonspark.sources.scenes import masked
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -175,13 +176,37 @@ def time_slice(spark, sf_dir):
 @query(f"""WITH {A.LAYERS_SQL}, scene AS (SELECT o_orderkey AS scene_id, year(o_orderdate)::INT AS year, dayofyear(o_orderdate)::INT AS doy FROM orders)
 SELECT year, count(DISTINCT scene_id)::BIGINT AS scenes, count(*)::BIGINT AS cells, count(CASE WHEN ndvi <> -3000 AND reliability BETWEEN 0 AND 2 THEN 1 END)::BIGINT AS valid FROM layers JOIN scene USING (scene_id) GROUP BY year""")
 def observation_stack(spark, sf_dir):
-    from seasonspark.sources.scenes import masked
-
     scenes = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("scene_id"), F.year("o_orderdate").alias("year"))
     stack = masked(A.layers(spark, sf_dir)).join(scenes, "scene_id")
     return stack.groupBy("year").agg(F.countDistinct("scene_id").alias("scenes"), F.count("*").alias("cells"), F.count("ndvi").alias("valid"))
 
 
+@query(f"""WITH {A.LAYERS_SQL}, scene AS (SELECT o_orderkey AS scene_id, year(o_orderdate)::INT AS year, dayofyear(o_orderdate)::INT AS doy FROM orders)
+SELECT scene_id::BIGINT AS scene_id, year, doy, CASE WHEN ndvi <> -3000 AND reliability BETWEEN 0 AND 2 THEN ndvi END AS ndvi,
+  row_number() OVER (ORDER BY year, doy, scene_id, CASE WHEN ndvi <> -3000 AND reliability BETWEEN 0 AND 2 THEN ndvi END NULLS FIRST)::INT AS place FROM layers JOIN scene USING (scene_id) WHERE "row" = 7 AND col = 3""")
+def pixel_series(spark, sf_dir):
+    """One location's samples with their place in time order; both filters reach the scan."""
+    from_cell = A.layers(spark, sf_dir).where("row = 7 AND col = 3")
+    scenes = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("scene_id"), F.year("o_orderdate").alias("year"), F.dayofyear("o_orderdate").alias("doy"))
+    df = masked(from_cell).join(scenes, "scene_id")
+    place = F.row_number().over(Window.partitionBy("row", "col").orderBy("year", "doy", "scene_id", "ndvi"))
+    return df.select("scene_id", "year", "doy", "ndvi", place.alias("place"))
+
+
+@query(f"""WITH {A.SERIES_SQL} SELECT key::BIGINT AS key, min(ndvi) AS low, max(ndvi) AS high, round(max(ndvi) - min(ndvi), 6) AS span, arg_min(doy, struct_pack(a := -ndvi, b := ts, c := id)) AS peak FROM series WHERE ndvi IS NOT NULL GROUP BY key""")
+def value_range(spark, sf_dir):
+    """What the fits start from: extremes, span and the day of the first maximum."""
+    df = A.series(spark, sf_dir).where(quality.finite(F.col("ndvi")).isNotNull())
+    return df.groupBy("key").agg(F.min("ndvi").alias("low"), F.max("ndvi").alias("high"), r(F.max("ndvi") - F.min("ndvi")).alias("span"), stats.first_peak(F.col("ndvi"), F.col("doy"), F.col("seq")).alias("peak"))
+
+
+@query("SELECT 'MOD13C1.A' || strftime(o_orderdate, '%Y%j') AS file, count(*)::BIGINT AS n FROM orders GROUP BY 1 ORDER BY 1 LIMIT 5")
+def first_scenes(spark, sf_dir):
+    """The first five scene names and how often each occurs; name order is time order."""
+    name = F.concat(F.lit("MOD13C1.A"), F.year("o_orderdate"), names.padded_doy(F.dayofyear("o_orderdate")))
+    return A.table(spark, sf_dir, "orders").groupBy(name.alias("file")).agg(F.count("*").alias("n")).orderBy("file").limit(5)
+
+
 # Parameters and frames
 
 _BOUNDED = ", ".join(f"CASE WHEN {c} BETWEEN {a} AND {b} THEN {c} END AS {c}" for c, (a, b) in params.BOUNDS.items())
@@ -405,6 +430,18 @@ def insolation_clipped(spark, sf_dir):
     return df.select("kyear", r("fsw").alias("fsw"), r(orbit.clipped(F.col("fsw"))).alias("clipped"), r("ecc").alias("ecc"), r(F.degrees("eps_rad")).alias("obliquity"), r("lambda").alias("lambda"))
 
 
+_BY_LONGITUDE = A.INSOLATION_SQL[A.INSOLATION_SQL.index("declination AS") :]
+
+
+@query(f"""WITH {A.ELEMENTS_SQL}, longitude AS (SELECT e.*, d.day::INT AS day, 65.0::DOUBLE AS lat, d.day * (2 * pi() / 360) AS lam FROM elements e, range(0, 360, 15) d(day)), {_BY_LONGITUDE}
+SELECT kyear, day, round(fsw, 6) + 0 AS fsw, round("lambda", 6) + 0 AS "lambda" FROM insolation""")
+def insolation_by_longitude(spark, sf_dir):
+    """Days given as the sun's longitude in degrees."""
+    df = A.elements(spark).withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(345), F.lit(15))))
+    found = orbit.insolation(df, 65, "day", day_type=2)
+    return found.select("kyear", "day", r("fsw").alias("fsw"), r("lambda").alias("lambda"))
+
+
 @query(_days_sql("0, 9", 365, "(30)") + " SELECT kyear, day, round(fsw, 6) AS fsw FROM insolation")
 def insolation_march21(spark, sf_dir):
     return orbit.insolation(_at(spark, (0, 9), 365, (30,)), F.col("lat")).select("kyear", "day", r("fsw").alias("fsw"))

@@ -47,6 +47,12 @@ def observations(layers: DataFrame, scenes: DataFrame) -> DataFrame:
     return masked(layers).join(scenes.select("scene_id", "year", "doy"), "scene_id").select("row", "col", "year", "doy", "ndvi")
 
 
+def catalog(df: DataFrame) -> DataFrame:
+    """``(name, type, nullable)`` of a relation's columns."""
+    fields = [(f.name, f.dataType.simpleString(), f.nullable) for f in df.schema]
+    return df.sparkSession.createDataFrame(fields, "name string, type string, nullable boolean")
+
+
 def write_stack(stack: DataFrame, path: str, tile: int = 16) -> None:
     """Parquet by year, cells of a tile side by side, so that year, row and column filters prune."""
     tiled = stack.repartition("year", F.floor(F.col("row") / tile), F.floor(F.col("col") / tile))
