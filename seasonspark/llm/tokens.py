@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import accumulate, chain, compress, repeat
+from operator import is_
 
 import numpy as np
 
@@ -89,14 +90,17 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
-        words = [None if b"<|" in t else APART.sub(rb" \g<0>", t.lower()).split() for t in texts]
+        words = [() if b"<|" in t else APART.sub(rb" \g<0>", t.lower()).split() for t in texts]
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
-        new = set(chain.from_iterable(w for w in words if w)).difference(self.known)
-        if new:
-            self._learn(new)
-        known = self.known.__getitem__
-        return [next(self._singly([t])) if w is None else b"".join(map(known, w)) for t, w in zip(texts, words, strict=True)]
+        flat = list(chain.from_iterable(words))
+        ids = list(map(self.known.get, flat))
+        new = list(compress(range(len(flat)), map(is_, ids, repeat(None))))
+        self._learn({flat[i] for i in new})
+        for i in new:
+            ids[i] = self.known[flat[i]]
+        ends = list(accumulate(map(len, words), initial=0))
+        return [next(self._singly([t])) if b"<|" in t else b"".join(ids[a:b]) for t, a, b in zip(texts, ends, ends[1:])]  # noqa: B905
 
 
 _encoders: dict[str, WordEncoder] = {}
