@@ -114,45 +114,48 @@ def solve(model: Model, t: np.ndarray, y: np.ndarray, used: np.ndarray, start: n
     """
     low, high = np.array(model.low, float), np.array(model.high, float)
     p = np.clip(start, low, high)
-    weight = used.astype(float)
 
     def errors(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         r = np.where(used, y - model.curve(t, q), 0.0)
         sse = (r * r).sum(1)
         return r, np.where(np.isfinite(sse), sse, INF)
 
-    r, sse = errors(p)
-    damping, live = np.full(len(p), 1e-3), np.ones(len(p), bool)
+    _, sse = errors(p)
+    damping, live = np.full(len(p), 1e-3), sse > 1e-20
+    every_t, every_y, every_used = t, y, used
     for _ in range(rounds):
-        if not live.any():
+        at = np.flatnonzero(live)
+        if not len(at):
             break
-        base = model.curve(t, p)
+        t, y, used, q0, old = every_t[at], every_y[at], every_used[at], p[at], sse[at]
+        r, _ = errors(q0)
+        base = model.curve(t, q0)
         jac = np.empty((*t.shape, p.shape[1]))
         for k in range(p.shape[1]):
-            h = 1e-6 * np.maximum(np.abs(p[:, k]), 1e-2)
-            h = np.where(p[:, k] + h > high[k], -h, h)
-            q = p.copy()
+            h = 1e-6 * np.maximum(np.abs(q0[:, k]), 1e-2)
+            h = np.where(q0[:, k] + h > high[k], -h, h)
+            q = q0.copy()
             q[:, k] += h
-            jac[:, :, k] = (model.curve(t, q) - base) / h[:, None] * weight
+            jac[:, :, k] = (model.curve(t, q) - base) / h[:, None] * used
         jac = np.nan_to_num(jac, posinf=0.0, neginf=0.0)
         gradient = np.einsum("btk,bt->bk", jac, r)
-        stuck = ((p <= low) & (gradient < 0)) | ((p >= high) & (gradient > 0))
+        stuck = ((q0 <= low) & (gradient < 0)) | ((q0 >= high) & (gradient > 0))
         jac = np.where(stuck[:, None, :], 0.0, jac)
         gradient = np.where(stuck, 0.0, gradient)
-        normal = np.einsum("btk,btl->bkl", jac, jac)
+        normal = np.matmul(jac.transpose(0, 2, 1), jac)
         diagonal = np.einsum("bkk->bk", normal)
         scale = np.maximum(diagonal, 1e-12 * np.maximum(diagonal.max(1, keepdims=True), 1e-300))
-        system = normal + (damping[:, None] * scale)[:, :, None] * np.eye(p.shape[1])
-        step = np.linalg.solve(system + 1e-300 * np.eye(p.shape[1]), gradient[:, :, None])[:, :, 0] if len(p) else gradient
-        tried = np.clip(p + np.where(np.isfinite(step), step, 0.0), low, high)
-        new_r, new_sse = errors(tried)
-        better = (new_sse < sse) & live
-        gain = np.where(better, sse - new_sse, 0.0)
-        p, r = np.where(better[:, None], tried, p), np.where(better[:, None], new_r, r)
-        done = (better & (gain <= 1e-12 * np.maximum(sse, 1e-300))) | (~better & (damping > 1e12))
-        sse = np.where(better, new_sse, sse)
-        damping = np.where(better, np.maximum(damping / 10, 1e-12), damping * 10)
-        live &= ~done & (sse > 1e-20)
+        system = normal + (damping[at, None] * scale)[:, :, None] * np.eye(p.shape[1])
+        step = np.linalg.solve(system + 1e-300 * np.eye(p.shape[1]), gradient[:, :, None])[:, :, 0]
+        tried = np.clip(q0 + np.where(np.isfinite(step), step, 0.0), low, high)
+        _, new = errors(tried)
+        better = new < old
+        p[at] = np.where(better[:, None], tried, q0)
+        sse[at] = np.where(better, new, old)
+        small = better & (old - new <= 1e-9 * np.maximum(old, 1e-300)) & (damping[at] <= 1e-2)
+        stalled = ~better & (damping[at] > 1e9)
+        damping[at] = np.where(better, np.maximum(damping[at] / 10, 1e-12), damping[at] * 10)
+        live[at] = ~(small | stalled) & (sse[at] > 1e-20)
     return p, sse
 
 

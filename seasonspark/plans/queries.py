@@ -337,10 +337,8 @@ s AS (SELECT *, {_sigma(f"CASE WHEN first THEN {_tooth('t', 'z1', 'm1')} ELSE {_
 @query(_SAWTOOTH_SQL + " SELECT event_id::BIGINT AS event_id, round(c1, 6) AS c1, round(c2, 6) AS c2, round(0.1 + 0.8 * s, 6) AS value, round(s * (1 - s) * m * 0.8, 6) AS slope FROM s")
 def sigmoid_double_sawtooth(spark, sf_dir):
     e, t, k = _times(spark, sf_dir)
-    z1, z2, d1, d2 = 100.0 + k % 13, 250.0 - k % 17, F.lit(50.0), -(40.0 + k % 20)
-    value, slope = waveforms.sigmoid_double_sawtooth(t, z1, d1, z2, d2, 0.1, 0.8)
-    c = waveforms.sawtooth_crossings(z1, 1 / d1, z2, -1 / (40.0 + k % 20))
-    return e.select("event_id", r(c.first).alias("c1"), r(c.second).alias("c2"), r(value).alias("value"), r(slope).alias("slope"))
+    df = waveforms.with_sigmoid_double_sawtooth(e, t, 100.0 + k % 13, 50.0, 250.0 - k % 17, -(40.0 + k % 20), 0.1, 0.8)
+    return df.select("event_id", r("first").alias("c1"), r("second").alias("c2"), r("value").alias("value"), r("slope").alias("slope"))
 
 
 @query(_wave(f"""round({_mod('t')}, 6) AS plain, round({_tooth('t', '120', '2')}, 6) + 0 AS centred,

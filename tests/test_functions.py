@@ -40,6 +40,9 @@ def test_crossings_and_degenerate_shapes(spark):
     c = w.sawtooth_crossings(100, 1 / 50, 250, -1 / 50)
     assert tuple(one(spark, *c)) == pytest.approx((175, 357.5))
     assert tuple(one(spark, *w.sawtooth_crossings(100, 0.5, 250, 0.5))) == (0, 182.5)
+    both = w.with_sigmoid_double_sawtooth(spark.range(0, 365, 5), F.col("id"), 100, 50, 250, -50, 0, 1)
+    value, slope = w.sigmoid_double_sawtooth(F.col("id"), 100, 50, 250, -50, 0, 1)
+    assert both.where((F.abs(F.col("value") - value) > 1e-12) | (F.abs(F.col("slope") - slope) > 1e-12)).count() == 0
     assert one(spark, w.double_logistic(10, 120, 0, 270, 25, 0, 1))[0] is None
     assert one(spark, w.tanh_sine(10, 0, 3, 4, 0))[0] == 3
     assert one(spark, w.double_logistic(-1e6, 120, 0.001, 270, 25, 7, 1))[0] == pytest.approx(7)
