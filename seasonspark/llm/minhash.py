@@ -15,7 +15,7 @@ from seasonspark.llm.scratch import Scratch
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Rows of one verification group besides its pivot, and the rows of a table that may be broadcast.
-GROUP_ROWS, BROADCAST_ROWS = 256, 1_000_000
+GROUP_ROWS, BROADCAST_ROWS = 256, 300_000
 #: Members up to which a bucket's pairs are listed, and members of a block beyond.
 LISTED_BUCKET, BLOCK_ROWS = 48, 256
 
@@ -198,7 +198,7 @@ def _block_links(many: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: S
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("cluster", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), "id", "c", "k")
     need = scratch.table(dealt.join(nodes.select("id", "n", "buckets"), "id"), "need")
-    small = need.count() <= BROADCAST_ROWS // 20
+    small = need.count() <= BROADCAST_ROWS // 10
     rows = texts.join(F.broadcast(need) if small else need, "id").select("cluster", "i", "j", "id", "c", "k", "n", "buckets", "text")
     rows = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
     return scratch.table(rows.mapInArrow(_compare_blocks(width, percent), "u long, v long").distinct(), "links")

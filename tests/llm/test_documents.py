@@ -68,6 +68,7 @@ def brute_components(sets, percent=80):
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, width, listed):
     monkeypatch.setattr(minhash, "LISTED_BUCKET", listed)
     monkeypatch.setattr(minhash, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", 0 if listed == 2 else 300_000)
     rows = corpus()
     got = {r.doc_id: r for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS), width=width).collect()}
     sets = {r[0]: shingles(r[1], width) for r in rows}
