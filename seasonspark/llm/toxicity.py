@@ -84,16 +84,17 @@ def _telling(split: list, labels: list[int], hashed: dict[bytes, list[int]], evi
     return found
 
 
-def train(texts: list[bytes], labels: list[int], *, epochs: int = 8, rate: float = 0.3, l2: float = 1e-6, evidence: float = 8.0, seed: int = 3) -> Model:
+def train(texts: list[bytes], labels: list[int], *, epochs: int = 8, rate: float = 0.3, l2: float = 1e-6, evidence: float | None = None, seed: int = 3) -> Model:
     """AdaGrad on the noisy-or likelihood of the document labels.
 
     Features whose presence in documents tells too little about the label (likelihood ratio below
-    ``evidence``) keep weight 0, so that a long text does not add up chance findings.
+    ``evidence``, else 1.4 times the logarithm of the number of documents) keep weight 0, so that a long text
+    does not add up chance findings.
     """
     split = [[sorted(words) for _, _, words in sentences(t)] for t in texts]
     hashed = {w: features(w) for d in split for s in d for w in s}
-    telling = _telling(split, labels, hashed, evidence)
-    weights, power, bias, bias_power = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-2), -8.0, 1.0
+    telling = _telling(split, labels, hashed, 1.4 * np.log(max(2, len(labels))) if evidence is None else evidence)
+    weights, power, bias, bias_power = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-2), -10.0, 1.0
     docs = []
     for d, y in zip(split, labels, strict=True):
         rows = [[f for w in s for f in hashed[w] if f in telling] for s in d]
