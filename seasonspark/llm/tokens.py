@@ -14,7 +14,7 @@ os.environ["TOKENIZERS_PARALLELISM"] = "false"
 from tokenizers import Tokenizer, pre_tokenizers  # noqa: E402
 
 #: Words remembered by one worker, and bytes of text split at once.
-KNOWN_WORDS, SPLIT_BYTES = 500_000, 8_000_000
+KNOWN_WORDS, SPLIT_BYTES = 400_000, 4_000_000
 
 #: A stop or comma that stands alone between a letter and white space: a token run of its own.
 APART = r"([a-z])([.,][ \n])"
@@ -111,6 +111,7 @@ class WordEncoder:
         first = taken.offsets.to_numpy() - (taken.offsets[0].as_py() if len(taken.offsets) else 0)
         at = (4 * first[words.offsets.to_numpy() - words.offsets[0].as_py()]).tolist()
         out = [data[a:b] for a, b in zip(at, at[1:])]  # noqa: B905
+        del words, numbered, lists, taken, data
         for i in special:
             out[i] = next(self._singly([texts[i]]))
         return out

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -14,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Weights of hashed features, and words whose sum a worker remembers.
-DIMENSIONS, KNOWN_WORDS = 1 << 20, 400_000
+DIMENSIONS, KNOWN_WORDS = 1 << 20, 150_000
 _SENTENCE = re.compile(rb"[^.!?\n]+")
 _EDGE = b".,;:!?\"'()[]{}<>*_-"
 
@@ -70,18 +69,12 @@ class Model:
         return float(min(1.0, max(0.0, 1 - clean))), [(*spans[i], float(p[i])) for i in np.flatnonzero(p >= 0.5).tolist()]
 
 
-def _telling(split: list, labels: list[int], hashed: dict[bytes, list[int]], evidence: float) -> set[int]:
-    """Features by the G statistic of presence against label."""
-    n, counts = Counter(labels), {0: Counter(), 1: Counter()}
-    for d, y in zip(split, labels, strict=True):
-        counts[y].update({f for s in d for w in s for f in hashed[w]})
-    total, found = len(labels), set()
-    for f in counts[0].keys() | counts[1].keys():
-        a, b = counts[1][f], counts[0][f]
-        cells = ((a, a + b, n[1]), (b, a + b, n[0]), (n[1] - a, total - a - b, n[1]), (n[0] - b, total - a - b, n[0]))
-        if a + b > 2 and 2 * sum(x * np.log(x * total / (r * c)) for x, r, c in cells if x) >= evidence:
-            found.add(f)
-    return found
+def _evidence(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """G statistic of each feature's presence against the label, from documents counted by label and feature."""
+    there = counts.sum(0)
+    rows = ((counts, there), (totals[:, None] - counts, totals.sum() - there))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 2 * sum(np.nan_to_num(x * np.log(x * (totals.sum() / totals[:, None]) / n)).sum(0) for x, n in rows)
 
 
 def train(texts: list[bytes], labels: list[int], *, epochs: int = 8, rate: float = 0.3, l2: float = 1e-6, evidence: float | None = None, seed: int = 3) -> Model:
@@ -91,15 +84,30 @@ def train(texts: list[bytes], labels: list[int], *, epochs: int = 8, rate: float
     ``evidence``, else 1.4 times the logarithm of the number of documents) keep weight 0, so that a long text
     does not add up chance findings.
     """
-    split = [[sorted(words) for _, _, words in sentences(t)] for t in texts]
-    hashed = {w: features(w) for d in split for s in d for w in s}
-    telling = _telling(split, labels, hashed, 1.4 * np.log(max(2, len(labels))) if evidence is None else evidence)
+    hashed: dict[bytes, list[int]] = {}
+    counts, rows = np.zeros((2, DIMENSIONS)), []
+    for text, y in zip(texts, labels, strict=True):
+        found, sizes = [], []
+        for _, _, words in sentences(text):
+            before = len(found)
+            for w in sorted(words):
+                found += hashed.get(w) or hashed.setdefault(w, features(w))
+            sizes.append(len(found) - before)
+        f = np.array(found, np.int32)
+        counts[y][np.unique(f)] += 1
+        rows.append((f, np.array(sizes, np.int64), y))
+        if len(hashed) > KNOWN_WORDS:
+            hashed.clear()
+    totals = np.bincount(labels, minlength=2).astype(float)
+    least = 1.4 * np.log(max(2, len(labels))) if evidence is None else evidence
+    telling = (counts.sum(0) > 2) & (_evidence(counts, np.maximum(totals, 1)) >= least)
     weights, power, bias, bias_power = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-2), -10.0, 1.0
     docs = []
-    for d, y in zip(split, labels, strict=True):
-        rows = [[f for w in s for f in hashed[w] if f in telling] for s in d]
-        if rows:  # a sentence without telling words counts with the bias alone
-            docs.append((np.array([f for r in rows for f in r], np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows]), len(rows), y))
+    for f, sizes, y in rows:
+        if len(sizes):  # a sentence without telling words counts with the bias alone
+            keep = telling[f]
+            docs.append((f[keep].astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)[keep], len(sizes), y))
+    del rows, counts, hashed
     rng = np.random.default_rng(seed)
     positive = sum(d[3] for d in docs)
     if not positive or positive == len(docs):
