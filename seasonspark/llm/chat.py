@@ -56,31 +56,32 @@ def parse(conversation: str) -> list[tuple[str, str]]:
     return turns
 
 
-def branches(nodes: DataFrame, scratch: Scratch, *, best: int | None, max_depth: int = 1 << 16) -> DataFrame:
+def branches(nodes: DataFrame, scratch: Scratch, *, best: int | None) -> DataFrame:
     """``(tree, leaf, node, back, rank)`` of the ``best`` root-to-leaf paths of every tree by mean score.
 
-    ``nodes(tree, node, parent, score)``. Every round joins the paths with the jumps of 1, 2, 4 ... steps
-    and the jumps with themselves, so depth d takes log2(d) rounds. A node whose parent is missing is a
-    root. Rows above ``max_depth`` or in a cycle have no root and give no path. Of a repeated node's
-    parents the least counts.
+    ``nodes(tree, node, parent, score)``. Jumps of 1, 2, 4 ... steps are joined with themselves until none
+    is left, then the paths with each of them, so depth d takes log2(d) rounds, whatever d is. A node whose
+    parent is missing is a root. A jump of as many steps as the largest tree has nodes ends in a cycle:
+    rows in or below one have no root and give no path. Of a repeated node's parents the least counts.
     """
     here = nodes.groupBy("tree", "node").agg(F.min("parent").alias("parent"), F.avg(F.coalesce("score", F.lit(0.0))).alias("score"))
     known = nodes.select("tree", F.col("node").alias("parent")).distinct()
     jumps = scratch.table(here.where("parent is not null").join(known, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("up")), "jumps")
     parents = jumps.select("tree", F.col("up").alias("node")).distinct()
     paths = here.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back")).distinct()
-    links, step = jumps, 1
-    while step <= max_depth and not jumps.isEmpty():
-        more = paths.join(jumps, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("back") + step).alias("back"))
-        paths = scratch.table(paths.unionByName(more), "paths")
+    most, levels = here.groupBy("tree").count().agg(F.max("count")).first()[0] or 0, []
+    while 1 << len(levels) < most and not jumps.isEmpty():
+        levels.append(jumps)
         upper = jumps.select("tree", F.col("node").alias("up"), F.col("up").alias("next"))
         jumps = scratch.table(jumps.join(upper, ["tree", "up"]).select("tree", "node", F.col("next").alias("up")), "jumps")
-        step *= 2
-    roots = here.select("tree", "node").join(links, ["tree", "node"], "left_anti").distinct()
-    rooted = paths.join(roots, ["tree", "node"], "left_semi").select("tree", "leaf")
+    if not jumps.isEmpty():
+        paths = paths.join(jumps.select("tree", "node"), ["tree", "node"], "left_anti")
+    for level, jumps in enumerate(levels):
+        more = paths.join(jumps, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("back") + (1 << level)).alias("back"))
+        paths = scratch.table(paths.unionByName(more), "paths")
     scores = paths.join(here.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.avg("score").alias("score"))
     order = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")
-    ranked = scores.join(rooted, ["tree", "leaf"]).withColumn("rank", F.row_number().over(order))
+    ranked = scores.withColumn("rank", F.row_number().over(order))
     ranked = ranked.where(F.col("rank") <= best) if best else ranked
     return paths.join(ranked.select("tree", "leaf", "rank"), ["tree", "leaf"])
 

@@ -167,3 +167,11 @@ def test_long_chain_and_repeats(spark):
     rows = [("t", i, i - 1 if i else None, "user", str(i), 0.0) for i in range(130)] + [("t", 5, 4, "user", "5b", 0.0)]
     got = formatted(spark, rows)
     assert got == [("t", 1, [*(str(i) for i in range(6)), "5b", *(str(i) for i in range(6, 130))])]
+
+
+def test_chain_of_any_length_and_cycles_beside_it(spark):
+    n = 140_000
+    chain = spark.range(n).selectExpr("'t' AS tree", "id AS node", "CASE WHEN id > 0 THEN id - 1 END AS parent", "0.0D AS score")
+    loop = spark.createDataFrame([("t", n + 1, n + 2, 9.0), ("t", n + 2, n + 1, 9.0), ("t", n + 3, n + 1, 9.0), ("u", 1, 2, 0.0), ("u", 2, 1, 0.0), ("u", 3, 2, 0.0)], "tree string, node long, parent long, score double")
+    got = chat.branches(chain.unionByName(loop), Scratch(spark, "test"), best=None)
+    assert got.agg(F.count("*"), F.countDistinct("node"), F.max("back"), F.min("leaf"), F.max("leaf")).first() == (n, n, n - 1, n - 1, n - 1)
