@@ -22,7 +22,7 @@ DDL = "doc_id long, start long, length long, doc_tokens long, sequence_id long,
 class Bm25:
     """Inverted index of one shard; terms are token ids, postings are kept with their full weights."""
 
-    def __init__(self, docs: list[np.ndarray], query_terms: int):
+    def __init__(self, docs: list[np.ndarray], query_terms: int | None = None):
         self.size, self.query_terms = len(docs), query_terms
         found = [np.unique(d.astype(np.uint16) if d.max() < 65536 else d, return_counts=True) for d in docs]
         self.terms = [t for t, _ in found]
@@ -30,7 +30,7 @@ class Bm25:
         doc = np.repeat(np.arange(self.size), [len(t) for t in self.terms])
         tf = np.concatenate([c for _, c in found]).astype(float)
         length = np.array([len(d) for d in docs], float)
-        df = np.bincount(term)
+        self.df = df = np.bincount(term)
         self.idf = np.log1p((self.size - df + 0.5) / (df + 0.5))
         weight = self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / length.mean())[doc])
         order = np.argsort(term, kind="stable")
@@ -38,11 +38,14 @@ class Bm25:
         self.ends = np.concatenate([[0], np.cumsum(df)])
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents by falling score against the seed's rarest terms; ties by position."""
-        terms = self.terms[seed]
-        terms = terms[np.argsort(-self.idf[terms], kind="stable")[: self.query_terms]]
-        spans = [slice(self.ends[t], self.ends[t + 1]) for t in terms]
-        scores = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.size)
+        """Unused documents by falling score against the seed's terms that others share; ties by position."""
+        terms = self.terms[seed].astype(np.int64)
+        terms = terms[self.df[terms] > 1]
+        if self.query_terms is not None:
+            terms = terms[np.argsort(-self.idf[terms], kind="stable")[: self.query_terms]]
+        counts = self.df[terms]
+        at = np.arange(counts.sum()) + np.repeat(self.ends[terms] - np.cumsum(counts) + counts, counts)
+        scores = np.bincount(self.doc[at], self.weight[at], self.size)
         return (order := np.argsort(-scores, kind="stable"))[unused[order]]
 
 
@@ -88,7 +91,7 @@ class Windows:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(SCHEMA)], schema=SCHEMA)
 
 
-def _fill(windows: Windows, docs: list[tuple], query_terms: int) -> None:
+def _fill(windows: Windows, docs: list[tuple], query_terms: int | None = None) -> None:
     index = Bm25([np.frombuffer(d[1], "<u4") for d in docs], query_terms)
     unused, seed, at = np.ones(len(docs), bool), 0, 0
     while True:
@@ -111,14 +114,14 @@ def _fill(windows: Windows, docs: list[tuple], query_terms: int) -> None:
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", window: int = 4096, end_id: int = 2, shard_tokens: int = 1 << 20, query_terms: int = 64
+    docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", window: int = 4096, end_id: int = 2, shard_tokens: int = 1 << 20, query_terms: int | None = None
 ) -> DataFrame:
     """Pieces ``(doc_id, start, length, doc_tokens, sequence_id, offset, ids)`` of packed sequences.
 
     Every document is its token ids and ``end_id`` (a null or empty text: that id alone). A task reads
     its documents once, in shards of about ``shard_tokens`` ids; within a shard a seed document opens a
-    window, the unused documents most like it by BM25 (its ``query_terms`` rarest terms) fill it, and
-    the one that is cut seeds the next. The open window goes on into the next shard. A task's last
+    window, the unused documents most like it by BM25 (all its terms, or its ``query_terms`` rarest shared ones)
+    fill it, and the one that is cut seeds the next. The open window goes on into the next shard. A task's last
     window is split into sequences whose lengths are powers of two, so nothing is padded.
 
     Nothing is shuffled; memory is bounded by a shard or the longest document. Rows with equal or null

@@ -205,6 +205,19 @@ def test_neighbours_rank_by_shared_rare_terms():
     assert index.neighbours(0, unused).tolist() == [2, 1, 3]
 
 
+def test_long_seed_finds_a_like_document():
+    rng = np.random.default_rng(0)
+    shared, own = np.arange(500, 800), np.arange(1000, 1500)
+    others = [rng.integers(0, 400, 300) for _ in range(20)]
+    docs = [np.concatenate([own, shared]), *others, np.concatenate([shared, others[0][:50]])]
+    unused = np.arange(len(docs)) > 0
+    assert packing.Bm25(docs).neighbours(0, unused)[0] == len(docs) - 1
+    windows = packing.Windows(1400, 0)
+    packing._fill(windows, [(i, d.astype("<u4").tobytes(), len(d)) for i, d in enumerate(docs)])
+    windows.finish()
+    assert [p[0] for p in windows.done][:2] == [0, len(docs) - 1]
+
+
 def test_packing_puts_like_with_like():
     rng = np.random.default_rng(0)
     docs = [(i, (rng.integers(0, 50, 60) + 1000 * (i % 4)).astype("<u4").tobytes(), 60) for i in range(80)]
