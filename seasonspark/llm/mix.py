@@ -12,6 +12,7 @@ CELLS = 2048
 #: Documents that may fill what the last whole one in order leaves of a source's residual.
 FITS = 3
 _PLACES = "array<struct<order:double,doc_id:bigint,size:bigint>>"
+_SPANS = "array<struct<gap:double,after:struct<order:double,doc_id:bigint,size:bigint>,over:struct<order:double,doc_id:bigint,size:bigint>>>"
 
 
 def word_count(text: Column) -> Column:
@@ -86,17 +87,50 @@ def _cut(rest: DataFrame, scratch: Scratch) -> DataFrame:
     return base.withColumn("width", F.lit(width))
 
 
+def _whole_order(rest: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(s, spans)``: per source the parts of the order that are taken when each document that fits is.
+
+    ``rest(source, residual, order, doc_id, size)``. A round cuts the documents not above the gap at the
+    first that overruns it; the next goes on behind that one, until no document fits. Of a span, the
+    documents not above ``gap`` that stand after ``after`` and before ``over`` are taken.
+    """
+    place = F.struct("order", "doc_id", "size")
+    start = F.struct(F.lit(-1.0).alias("order"), F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("size"))
+    state = scratch.table(rest.select(F.col("source").alias("s"), F.col("residual").cast("double").alias("gap")).distinct().select("s", "gap", start.alias("after"), F.array().cast(_SPANS).alias("spans")), "spans")
+    rest = rest.drop("residual")
+    while True:
+        here = rest.join(state.drop("spans"), F.col("source").eqNullSafe(F.col("s"))).where((F.col("size") <= F.col("gap")) & (place > F.col("after")))
+        rest = scratch.table(here.select("source", F.col("gap").alias("residual"), "order", "doc_id", "size"), "open")
+        if rest.isEmpty():
+            return state.select("s", "spans")
+        cut = _cut(rest, scratch)
+        rest = rest.drop("residual")
+        marks = rest.join(cut, rest.source.eqNullSafe(cut.source)).drop(cut.source)
+        marks = marks.where((F.col("order") >= F.col("low")) & (F.col("order") < F.col("low") + F.col("width")))
+        run = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("order", "doc_id", "size"))
+        fits = F.col("run") <= F.col("residual")
+        ends = marks.withColumn("run", run).groupBy("source", "residual", "before", "low", "width").agg(F.max(F.when(fits, F.col("run"))).alias("run"), F.min(F.when(~fits, place)).alias("over"))
+        # Nothing overruns the cell if it ends with an exact fit or is the last one: the span ends where it does.
+        behind = F.struct((F.col("low") + F.col("width")).alias("order"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("size"))
+        ends = ends.select("source", "residual", (F.col("residual") - F.coalesce("run", "before")).alias("left"), F.coalesce("over", behind).alias("over"))
+        state = state.join(ends, F.col("s").eqNullSafe(F.col("source")), "left")
+        span = F.array(F.struct("gap", "after", "over"))
+        after = F.coalesce("over", "after")
+        state = scratch.table(state.select("s", F.coalesce("left", "gap").alias("gap"), after.alias("after"), F.when(F.col("residual").isNotNull(), F.concat("spans", span)).otherwise(F.col("spans")).alias("spans")), "spans")
+
+
 def mix(
     docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), max_ratio: int = 3, propensity: Column | None = None, seed: int = 7,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = (),
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = (), whole: bool = True,
 ) -> DataFrame:
     """``(doc_id, size, source_size, target, copies, taken)`` and the carried columns for every row of ``docs``.
 
     A source's target divided among its documents gives each an expected number of copies (all the
     same, or proportional to ``propensity``). Its whole part is certain. The fraction is the inclusion
     odds of one more copy: documents are ranked by random odds over inclusion odds, u/(1-u) / (p/(1-p)),
-    and taken in this order as long as the source's residual words hold them; up to three more, each the
-    largest that fits into what is left, close the gap. Random numbers are hashes of seed and id: reruns agree.
+    and each that fits into what is left of the source's residual words is taken in this order, so no unused
+    document fits in the end. Not ``whole``: the order stops at the first that overruns the residual, and up to
+    three more, each the largest that fits, narrow the gap. Random numbers are hashes of seed and id: reruns agree.
 
     Null text: size 0, nothing to take. Null source: a source of its own. Null or repeated ids are
     ranked as they are, ties by size; of rows equal in id and size all or none get the extra copy.
@@ -118,10 +152,18 @@ def mix(
     u = unit_hash(F.lit(seed), F.col("doc_id"))
     odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
     at = at.withColumn("order", F.when((F.col("p") > 0) & (F.col("size") > 0), odds / (1 + odds)))
+    if whole:  # odds beyond 2^53 round to 1, which no cell holds
+        at = at.withColumn("order", F.when(F.col("order") >= 1, 1 - 2.0**-53).otherwise(F.col("order")))
     certain = at.groupBy("source").agg(F.max("target").alias("t"), F.sum(F.col("certain") * F.col("size")).alias("c"))
     residual = certain.select("source", (F.col("t") - F.col("c")).alias("residual")).where("residual > 0")
     rest = at.where("order is not null").select("source", "order", "doc_id", "size")
     rest = rest.join(residual, rest.source.eqNullSafe(residual.source)).drop(residual.source)
+    if whole:
+        spans = _whole_order(rest, scratch)
+        place = F.struct("order", "doc_id", "size")
+        fits = F.exists("spans", lambda x: (F.col("size") <= x["gap"]) & (place > x["after"]) & (place < x["over"]))
+        taken = at.join(spans, F.col("source").eqNullSafe(F.col("s")), "left")
+        return _copies(taken, F.col("order").isNotNull() & F.coalesce(fits, F.lit(False)), carry)
     cut = _cut(rest, scratch)
     marks = rest.drop("residual").join(cut, rest.source.eqNullSafe(cut.source)).drop(cut.source)
     inside = marks.where((F.col("order") >= F.col("low")) & (F.col("order") < F.col("low") + F.col("width")))
@@ -147,5 +189,9 @@ def mix(
         gaps = scratch.table(gaps, "gaps")
     taken = ranked.drop("gap").join(gaps, F.col("source").eqNullSafe(F.col("s")), "left")
     extra = F.col("order").isNotNull() & (F.col("inside") | F.coalesce(F.array_contains("fits", place), F.lit(False)))
+    return _copies(taken, extra, carry)
+
+
+def _copies(taken: DataFrame, extra: Column, carry: tuple[str, ...]) -> DataFrame:
     copies = F.col("certain") + F.when(extra, 1).otherwise(0)
     return taken.select("doc_id", "size", "source_size", "target", "source", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *carry)

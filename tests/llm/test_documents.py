@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import zlib
@@ -139,6 +140,29 @@ def test_mix_inclusion_follows_the_odds(spark):
     assert even / odd == pytest.approx(2, abs=0.25)
 
 
+def test_mix_goes_on_behind_a_very_long_document(spark):
+    rng = random.Random(4)
+    u = {i: (int(hashlib.md5(f"7:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i in range(1400)}
+    long = sorted(range(301), key=u.get)[10]
+    sizes = {("a", i): rng.choice([5, 50, 51, 52]) for i in range(301)} | {("b", i): rng.randint(1, 60) for i in range(1000, 1400)} | {("a", long): 40_000}
+    rows = [(i, "w " * n, s, "x") for (s, i), n in sizes.items()]
+    want = {}
+    for s in "ab":
+        target = goals({x: sum(n for (y, _), n in sizes.items() if y == x) for x in "ab"}, (1, 1))[s]
+        e = target / sum(n for (y, _), n in sizes.items() if y == s)
+        certain, p = int(e), e - int(e)
+        mine = {i: n for (y, i), n in sizes.items() if y == s}
+        gap = target - certain * sum(mine.values())
+        order = {i: (u[i] / (1 - u[i])) / (p / (1 - p)) for i in mine}
+        for i in sorted(mine, key=order.get):
+            take = mine[i] <= gap
+            gap -= mine[i] * take
+            want[i] = certain + take
+    assert want[long] == 0 and sum(want[i] for i in range(301)) == 300
+    got = {r.doc_id: r.copies for r in mix.mix(spark.createDataFrame(rows, DOCS), weights=(1, 1)).collect()}
+    assert got == want
+
+
 def test_mix_odd_tables(spark):
     assert mix.mix(spark.createDataFrame([], DOCS)).count() == 0
     empty = mix.mix(spark.createDataFrame([(1, None, None, "x"), (1, "", "a", "x")], DOCS)).collect()
