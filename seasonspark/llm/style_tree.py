@@ -35,6 +35,7 @@ NOISE_WORDS = frozenset(
 )
 
 _TAG = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+", re.I)
 #: Depth to which a path tells elements apart.
@@ -50,6 +51,21 @@ def _signature(tag: str, attributes: str) -> tuple[str, bool]:
     return ".".join([tag, *(re.sub(r"\d+", "0", n) for n in names)]), tag in NOISE_TAGS or hidden or bool(words & NOISE_WORDS)
 
 
+def _named(attributes: str) -> str:
+    """Of a long attribute string what ``_signature`` reads: class, id, role and what hides the element.
+
+    Long styles, data and source sets may hold these words as values, so attributes are told apart first.
+    """
+    kept = []
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in ("class", "id", "role"):
+            kept.append(m[0])
+        elif name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            kept.append("hidden")
+    return " ".join(kept)
+
+
 class Element:
     __slots__ = ("tag", "path", "noise", "inside")
 
@@ -93,7 +109,8 @@ def walk(html: str) -> Iterator[tuple[str, Element, str]]:
                     break
                 if stack[i].tag in LIMITS.get(tag, ()) or (tag in CLOSES_P and stack[i].tag not in INLINE):
                     break
-        name, noise = _signature(tag, m[3].strip() if len(m[3]) < 500 else "")
+        # Long strings are read whole, but not remembered.
+        name, noise = _signature(tag, m[3].strip()) if len(m[3]) < 500 else _signature.__wrapped__(tag, _named(m[3]))
         up = stack[-1]
         path = f"{up.path}/{name}" if len(stack) < DEEPEST else up.path
         # A header within an article holds its title; elsewhere it is the site's.

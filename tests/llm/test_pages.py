@@ -109,6 +109,16 @@ def test_main_text(html, want):
     assert style_tree.main_text(html or "") == want
 
 
+@pytest.mark.parametrize(("attributes", "kept"), [
+    ('class="sidebar"', False), ("id=cookie-notice", False), ("hidden", False), ("role='navigation'", False), ('class="story"', True),
+    ('data-x="hidden class=ad"', True),
+])
+def test_long_attributes_are_read(attributes, kept):
+    for page in ('<article><p>Text</p><div style="{0}" {1} data-y="{0}"><p>aside</p></div></article>', '<p>Text</p><div {1} srcset="{0}">aside</div>'):
+        got = style_tree.main_text(page.format("overflow:hidden;" * 60, attributes))
+        assert got == ("Text aside" if kept else "Text")
+
+
 def test_low_importance_branches_go(spark):
     rng = random.Random(0)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
