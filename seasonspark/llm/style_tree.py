@@ -147,30 +147,22 @@ def nodes(html: str) -> dict[str, tuple[str, str]]:
 
 
 def main_text(html: str, noise: frozenset[str] = frozenset()) -> str:
-    """The page without noise elements: those marked by tag or name and, outside an article, those on ``noise`` paths."""
-    blocks, runs, outside, any_inside = [], [], [], False
+    """The page without noise elements: those marked by tag or name and, outside articles, those on ``noise`` paths."""
+    blocks, runs = [], []
 
     def flush() -> None:
-        nonlocal runs
-        if runs:
-            text = " ".join("".join(t for t, _ in runs).split())
-            if text:
-                (blocks if runs[0][1] else outside).append((len(blocks) + len(outside), text))
-            runs = []
+        text = " ".join("".join(runs).split())
+        runs.clear()
+        if text:
+            blocks.append(text)
 
     for kind, element, value in walk(html):
-        if kind == "text":
-            if element.noise or (noise and not element.inside and _on(element.path, noise)):
-                continue
-            any_inside |= element.inside
-            if runs and runs[0][1] != element.inside:
-                flush()
-            runs.append((unescape(value), element.inside))
-        elif kind == "break" or element.inside and element.tag in LANDMARKS:
+        if kind == "text" and not (element.noise or (noise and not element.inside and _on(element.path, noise))):
+            runs.append(unescape(value))
+        elif kind == "break":
             flush()
-            any_inside |= kind == "open" and element.inside
     flush()
-    return " ".join(t for _, t in (blocks if any_inside else outside))
+    return " ".join(blocks)
 
 
 def _on(path: str, noise: frozenset[str]) -> bool:
@@ -217,7 +209,8 @@ def extract(
     page order by one space. Elements whose tag or class, id or role names menus, headers, footers, sidebars,
     notices, adverts, forms, scripts, styles or comments go, and branches of a host's style tree below
     ``threshold`` on at least ``least_pages`` pages. Text within article or main elements is kept whatever its
-    entropy, since articles of one site quote each other; if a page has such an element, only that text is taken.
+    entropy, since articles of one site quote each other; of all other text the style tree decides, beside an
+    article too. On hosts of fewer pages than ``least_pages`` only tag and names do.
 
     Style nodes are counted per batch before the shuffle, so that one host may hold any part of the rows. Noise
     paths are broadcast up to ``broadcast_paths`` rows, beyond that joined by salted host. Null html: empty text.

@@ -135,6 +135,15 @@ def test_low_importance_branches_go(spark):
     assert style_tree.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_text_beside_an_article_is_judged_by_the_tree(spark):
+    rng = random.Random(1)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(20)) for _ in range(20)]
+    articles = ["", '<article><img src="a.png"></article>', "<article><p>Teaser</p></article>", "<main></main>"]
+    rows = [(i, f"http://h.example/{i}", f"<div class=top><p>Welcome to us</p></div>{articles[i % 4]}<div class=text><p>{t}</p></div>", "x") for i, t in enumerate(texts)]
+    got = {r.page_id: r.text for r in style_tree.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {i: ("Teaser " if i % 4 == 2 else "") + t for i, t in enumerate(texts)}
+
+
 def test_articles_of_a_site_may_quote_each_other():
     html = "<article><h1>Same title</h1><p>Same words</p></article>"
     assert style_tree.main_text(html, frozenset({"/article/h1", "/article"})) == "Same title Same words"
