@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seasonspark.llm.components import components
+from seasonspark.llm.components import components, join_per_key
 from seasonspark.llm.scratch import Scratch
 from seasonspark.llm.vectors import as_arrays
 
@@ -125,7 +125,8 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
 
     Null, zero, empty and non-finite vectors and null labels: no links, a component of their own. Vectors
     of different lengths are not linked. Null ids: no part, null component, not kept. Rows with equal ids
-    are counted each. Other columns are ignored; an empty table gives an empty result.
+    are counted each. Other columns are ignored, whatever their names; an empty table gives an empty result.
+    Memory is bounded by a block of vectors. Up to ``CELL_ROWS`` nodes a label all lie in one cell.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "vectors")
     rows = vectors.select(F.col(id_col), F.col(vector_col), F.col(label_col))
@@ -152,9 +153,11 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     found = scratch.table(blocks.applyInArrow(_block(threshold), "id long, links long, root long"), "found")
     comp = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")), scratch).withColumnRenamed("id", "node")
     links = found.groupBy(F.col("id").alias("linked")).agg(F.sum("links").alias("links"))
-    classes = nodes.select("label", "key", "id", "n").join(links, F.col("id") == F.col("linked"), "left").join(comp, F.col("id") == F.col("node"), "left")
-    classes = classes.select("label", "key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("c"))
-    out = rows.select("id", "label", "key").join(classes, ["label", "key"], "left")
+    place = F.concat(F.col("label").cast("binary"), F.lit(b"\0"), F.col("key")).alias("place")
+    classes = nodes.select(place, "id", "n").join(links, F.col("id") == F.col("linked"), "left").join(comp, F.col("id") == F.col("node"), "left")
+    classes = classes.select("place", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("c"), "n")
+    out = join_per_key(rows.select("id", place), classes, "place", "n", rows.count())
     component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
     links = F.when(F.col("id").isNotNull(), F.col("n_links"))
-    return out.select(F.col("id").alias(id_col), F.coalesce(links, F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
+    out = out.select(F.col("id").alias(id_col), F.coalesce(links, F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
+    return scratch.last(out, "classes")

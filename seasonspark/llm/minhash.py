@@ -10,14 +10,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seasonspark.llm.components import components
+from seasonspark.llm.components import components, join_per_key
 from seasonspark.llm.scratch import Scratch
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Rows of one verification group besides its pivot, and the rows of a table that may be broadcast.
 GROUP_ROWS, BROADCAST_ROWS = 256, 300_000
-#: Members up to which a bucket's pairs are listed, and members of a block beyond.
-LISTED_BUCKET, BLOCK_ROWS = 48, 256
+#: Members up to which a bucket's pairs are listed, and members and shingles of a block beyond.
+LISTED_BUCKET, BLOCK_ROWS, BLOCK_SHINGLES = 48, 2048, 1_000_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -130,7 +130,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, width: int,
     small = need.count() <= BROADCAST_ROWS
     rows = texts.join(F.broadcast(need) if small else need, "id").select("a", "block", "id", "lead", "text")
     sorted_rows = rows.repartition("a", "block").sortWithinPartitions("a", "block", F.desc("lead"))
-    return scratch.table(sorted_rows.mapInArrow(_confirm(width, percent), "u long, v long").distinct(), "links")
+    links = scratch.table(sorted_rows.mapInArrow(_confirm(width, percent), "u long, v long").distinct(), "links")
+    scratch.drop(need)
+    return links
 
 
 def _linked(p: np.ndarray, s: np.ndarray, percent: int) -> bool:
@@ -192,8 +194,8 @@ def _compare_blocks(width: int, percent: int):
 def _block_links(many: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
     """Links between components that meet in large buckets: nodes joined by such buckets form a cluster, cut into blocks."""
     near = components(many.select(F.col("id").alias("u"), F.col("lead").alias("v")), scratch)
-    of = many.select("id", "c").distinct().join(near, "id", "left").select("id", "c", F.coalesce("component_id", "id").alias("cluster"))
-    blocks = of.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
+    of = many.select("id", "n", "c").distinct().join(near, "id", "left").select("id", "n", "c", F.coalesce("component_id", "id").alias("cluster"))
+    blocks = of.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     dealt = of.join(blocks, "cluster").withColumn("k", F.pmod(F.xxhash64("id"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("cluster", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), "id", "c", "k")
@@ -201,7 +203,9 @@ def _block_links(many: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: S
     small = need.count() <= BROADCAST_ROWS // 10
     rows = texts.join(F.broadcast(need) if small else need, "id").select("cluster", "i", "j", "id", "c", "k", "n", "buckets", "text")
     rows = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
-    return scratch.table(rows.mapInArrow(_compare_blocks(width, percent), "u long, v long").distinct(), "links")
+    links = scratch.table(rows.mapInArrow(_compare_blocks(width, percent), "u long, v long").distinct(), "links")
+    scratch.drop(need, near)
+    return links
 
 
 def near_duplicates(
@@ -211,37 +215,40 @@ def near_duplicates(
 
     Two documents are linked when 100 * |A n B| >= percent * |A u B| for their sets of distinct
     ``width``-word shingles. Documents with equal sets are one node from the start. Nodes that share
-    a band's bucket are candidates; with 40 bands of 5 values a pair at 0.8 is missed with
-    probability 1.2e-7. Every link is confirmed on full sets. First all nodes of a bucket are held
+    a band's bucket are candidates. With 40 bands of 5 values a pair at 0.8 is missed with a probability
+    of about 1.2e-7 if its union is large; the least and the greatest value of one permutation depend on each other
+    in small sets, where it rises (measured by a test; below 1e-5 at five shingles). Every link is confirmed on full sets. First all nodes of a bucket are held
     against its smallest, so that most groups of copies merge without their pairs being listed.
     Then every pair of a bucket that is still in different components is held against each other:
     listed for small buckets, as products of blocks for large ones. None is skipped.
 
     No words or null text: an empty set, linked with nothing. Null ids: returned with null
-    component, not kept. Rows with equal ids each
-    take the class of their own set. Other columns are ignored.
+    component, not kept. Rows with equal ids each take the class of their own set. Very long texts are read whole:
+    a task holds one text, its set, and the sets of one block. Other columns are ignored, whatever their names.
+    An empty table gives an empty result. The result is written to the shared folder, the tables it took are deleted.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = scratch.table(texts.mapInArrow(_sketches(width, bands, rows, seed), "id long, n long, key binary, buckets array<long>"), "sketches")
-    nodes = sketch.where("key is not null and id is not null").groupBy("key").agg(F.min(F.struct("id", "n", "buckets")).alias("x")).select("key", "x.*")
+    nodes = sketch.where("key is not null and id is not null").groupBy("key").agg(F.min(F.struct("id", "n", "buckets")).alias("x"), F.count("*").alias("copies"))
+    nodes = scratch.table(nodes.select("key", "x.*", "copies"), "nodes")
     rows_of = nodes.select("id", "n", F.explode("buckets").alias("bucket"))
     shared = rows_of.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("pivot"), F.max("id").alias("last")).where("last > pivot.id")
-    open_ = scratch.table(rows_of.join(shared.select("bucket"), "bucket").distinct(), "candidates")
+    open_ = scratch.table(rows_of.join(shared.select("bucket", "pivot"), "bucket").distinct(), "candidates")
     fits = f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)"
     pair = (F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
 
-    hubs = shared.select("bucket", F.col("pivot.id").alias("a_id"), F.col("pivot.n").alias("a_n"))
-    stars = open_.join(hubs, "bucket").select("a_id", "a_n", F.col("id").alias("b_id"), F.col("n").alias("b_n"))
+    stars = open_.select(F.col("pivot.id").alias("a_id"), F.col("pivot.n").alias("a_n"), F.col("id").alias("b_id"), F.col("n").alias("b_n"))
     tested = scratch.table(stars.where("a_id <> b_id").where(fits).select(*pair).distinct(), "pairs")
     links = _verified(tested, texts, scratch, width, percent)
     comp = components(links, scratch)
 
-    marked = open_.join(comp, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
+    marked = open_.drop("pivot").join(comp, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
     mixed = marked.groupBy("bucket").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high"), F.min("id").alias("lead"))
     mixed = scratch.table(mixed.where("low < high").select("bucket", "m", "lead"), "mixed")
     marked = scratch.table(marked.join(mixed, "bucket"), "open")
+    scratch.drop(open_, comp)
     few = marked.where(f"m <= {LISTED_BUCKET}")
     a, b = (few.select("bucket", *(F.col(k).alias(f"{p}_{k}") for k in ("id", "n", "c"))) for p in "ab")
     rest = a.join(b, "bucket").where("a_id < b_id and a_c <> b_c").where(fits).select(*pair).distinct()
@@ -250,9 +257,10 @@ def near_duplicates(
     many = marked.where(f"m > {LISTED_BUCKET}")
     links = links.unionByName(_block_links(many, nodes, texts, scratch, width, percent))
     comp = components(links, scratch)
-    classes = nodes.select("key", "id").join(comp, "id", "left").select("key", F.coalesce("component_id", "id").alias("c"))
-    out = sketch.select("id", "n", "key").join(classes, "key", "left")
+    classes = nodes.select("key", "id", "copies").join(comp, "id", "left").select("key", F.coalesce("component_id", "id").alias("c"), "copies")
+    out = join_per_key(sketch.select("id", "n", "key"), classes, "key", "copies", sketch.count())
     component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
-    return out.select(
+    out = out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept")
     )
+    return scratch.last(out, "classes")
