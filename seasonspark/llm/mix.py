@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,9 +11,6 @@ from seasonspark.llm.scratch import Scratch
 
 #: Cells of one histogram level of the order statistic.
 CELLS = 2048
-#: Documents that may fill what the last whole one in order leaves of a source's residual.
-FITS = 3
-_PLACES = "array<struct<order:double,doc_id:bigint,size:bigint>>"
 _SPANS = "array<struct<gap:double,after:struct<order:double,doc_id:bigint,size:bigint>,over:struct<order:double,doc_id:bigint,size:bigint>>>"
 
 
@@ -20,6 +19,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def length_odds(size: Column) -> Column:
+    """Binary digits of a word count: the propensity by which longer texts are likelier to be taken. A text of 1000
+    words (10 digits) has two and a half times the expected copies of one of 8 to 15 (4 digits)."""
+    return F.length(F.bin(size)).cast("double")
+
+
 def unit_hash(*key: Column) -> Column:
     """A number in (0, 1) from 52 bits of an MD5, the same wherever it is computed."""
     text = F.concat_ws(":", *(F.coalesce(k.cast("string"), F.lit("null")) for k in key))
@@ -45,24 +50,19 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], max_ratio: float) -> Dat
     return per.select("source", "source_size", F.least("cap", F.coalesce(level * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def _expected_copies(sizes: DataFrame, goals: DataFrame, max_copies: int, scratch: Scratch) -> DataFrame:
-    """Copies per document, proportional to ``propensity`` and at most ``max_copies``, that take each source's target."""
-    classes = scratch.table(sizes.groupBy("source", "propensity").agg(F.sum("size").alias("size")), "classes")
-    goal = goals.select(F.col("source").alias("g"), "target")
-    scale = goals.select(F.col("source").alias("s"), F.lit(0.0).alias("scale"))
-    seen = -1
-    while True:
-        at = classes.join(goal, F.col("source").eqNullSafe(F.col("g"))).join(scale, F.col("source").eqNullSafe(F.col("s")))
-        full = F.col("scale") * F.col("propensity") >= max_copies
-        sums = at.groupBy("source", "target").agg(
-            F.sum(F.when(full, F.col("size")).otherwise(0)).alias("fixed"), F.sum(F.when(~full, F.col("size") * F.col("propensity")).otherwise(0.0)).alias("open"), F.sum(full.cast("int")).alias("n")
-        )
-        rest = F.greatest(F.col("target") - max_copies * F.col("fixed"), F.lit(0.0))
-        sums = scratch.table(sums.select(F.col("source").alias("s"), F.when(F.col("open") > 0, rest / F.col("open")).otherwise(F.lit(1e18)).alias("scale"), "n"), "scale")
-        n, scale = sums.agg(F.sum("n")).first()[0], sums.select("s", "scale")
-        if n == seen or n is None:
-            return scale
-        seen = n
+def _scales(classes: DataFrame, goals: DataFrame, max_copies: int) -> DataFrame:
+    """``(s, scale)``: a document's expected copies are ``scale`` times its propensity, at most ``max_copies``.
+
+    ``classes(source, propensity, size)``. In falling order of propensity the capped classes are a prefix;
+    the first that stays below the cap gives the scale. Null if all are capped.
+    """
+    at = classes.join(goals.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s")))
+    order = Window.partitionBy("s").orderBy(F.desc("propensity"))
+    capped = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    mass = F.sum(F.col("size") * F.col("propensity")).over(order.rowsBetween(0, Window.unboundedFollowing))
+    at = at.withColumn("scale", F.try_divide(F.col("target") - F.lit(float(max_copies)) * capped, mass))
+    free = (F.col("scale") * F.col("propensity") <= max_copies) & (F.col("target") < F.lit(float(max_copies)) * F.col("source_size"))
+    return at.groupBy("s").agg(F.max_by("scale", F.when(free, F.col("propensity"))).alias("scale"))
 
 
 def _cut(rest: DataFrame, scratch: Scratch) -> DataFrame:
@@ -120,78 +120,62 @@ def _whole_order(rest: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def mix(
-    docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), max_ratio: int = 3, propensity: Column | None = None, seed: int = 7,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = (), whole: bool = True,
+    docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), max_ratio: int = 3, propensity: Callable[[Column], Column] | Column | None = length_odds, seed: int = 7,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``(doc_id, size, source_size, target, copies, taken)`` and the carried columns for every row of ``docs``.
-
-    A source's target divided among its documents gives each an expected number of copies (all the
-    same, or proportional to ``propensity``). Its whole part is certain. The fraction is the inclusion
-    odds of one more copy: documents are ranked by random odds over inclusion odds, u/(1-u) / (p/(1-p)),
-    and each that fits into what is left of the source's residual words is taken in this order, so no unused
-    document fits in the end. Not ``whole``: the order stops at the first that overruns the residual, and up to
-    three more, each the largest that fits, narrow the gap. Random numbers are hashes of seed and id: reruns agree.
-
-    Null text: size 0, nothing to take. Null source: a source of its own. Null or repeated ids are
-    ranked as they are, ties by size; of rows equal in id and size all or none get the extra copy.
-    Nothing is dropped: rows that are not taken have 0 copies. An empty table gives an empty result.
+    """``(doc_id, size, source_size, target, source, copies, taken)`` and the carried columns for every row of ``docs``.
+
+    A source's target divided among its documents gives each an expected number of copies, proportional to its
+    ``propensity`` (a column, or a function of the size; None: all the same) and at most ``max_ratio``. Its whole
+    part is certain. The fraction is the inclusion odds of one more copy: documents are ranked by random odds over
+    inclusion odds, u/(1-u) / (p/(1-p)). The sample's size is fixed in words: in this order each document is
+    taken that fits into what is left of the source's residual, so no unused document fits in the end. Only
+    the few documents behind the first that overruns (less than the longest text in all) are favoured for being
+    short. Random numbers are hashes of seed and id: reruns agree. Propensities that are whole numbers make the
+    sums exact in any order.
+
+    Null text: size 0, nothing to take; very long texts are counted whole. Null source: a source of its own. Null or
+    repeated ids are ranked as they are, ties by size; of rows equal in id and size all or none get the extra copy.
+    Null or negative propensity: 0, no copies unless all are certain. Nothing is dropped: rows that are not taken have 0
+    copies. An empty table gives an empty result. Carried columns may bear any names but those of the result (an error).
+
+    Texts are read twice if columns are carried and never written between. Sources are ranked in one task
+    (a row each); their documents are never sorted as a whole.
     """
+    named = ("doc_id", "size", "source_size", "target", "source", "copies", "taken")
+    if clash := set(carry) & set(named):
+        raise ValueError(f"carried columns are named like those of the result: {sorted(clash)}")
     scratch = Scratch(docs.sparkSession, "mix")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *([propensity.alias("propensity")] if propensity is not None else []), *carry)
-    rows = scratch.table(rows, "sizes")
+    size = word_count(F.col(text_col))
+    odds = F.lit(1.0) if propensity is None else propensity(size) if callable(propensity) and not isinstance(propensity, Column) else propensity
+    odds = F.greatest(F.coalesce(odds.cast("double"), F.lit(0.0)), F.lit(0.0))
+    slim = [F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), odds.alias("propensity")]
+    rows = scratch.table(docs.select(*slim), "sizes")
     goals = scratch.table(targets(rows, weights, max_ratio), "targets")
-    if propensity is None:
-        per = goals.select(F.col("source").alias("s"), "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("scale"))
-        expected = F.col("scale")
-    else:
-        scale = _expected_copies(rows, goals, max_ratio, scratch)
-        per = goals.join(scale, F.col("source").eqNullSafe(F.col("s"))).select("s", "source_size", "target", "scale")
-        expected = F.least(F.col("scale") * F.col("propensity"), F.lit(float(max_ratio)))
-    at = rows.join(per, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("e", expected)
-    at = at.withColumn("certain", F.floor("e")).withColumn("p", F.col("e") - F.col("certain"))
-    u = unit_hash(F.lit(seed), F.col("doc_id"))
-    odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
-    at = at.withColumn("order", F.when((F.col("p") > 0) & (F.col("size") > 0), odds / (1 + odds)))
-    if whole:  # odds beyond 2^53 round to 1, which no cell holds
-        at = at.withColumn("order", F.when(F.col("order") >= 1, 1 - 2.0**-53).otherwise(F.col("order")))
+    classes = rows.groupBy("source", "propensity").agg(F.sum("size").alias("size"))
+    scales = _scales(classes, goals, max_ratio)
+    per = scratch.table(goals.join(scales, F.col("source").eqNullSafe(F.col("s"))).select("s", "source_size", "target", "scale"), "scales")
+    place = F.struct("order", "doc_id", "size")
+
+    def ranked(some: DataFrame) -> DataFrame:
+        at = some.join(per, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+        at = at.withColumn("e", F.coalesce(F.least(F.col("scale") * F.col("propensity"), F.lit(float(max_ratio))), F.lit(float(max_ratio))))
+        at = at.withColumn("certain", F.floor("e")).withColumn("p", F.col("e") - F.col("certain"))
+        u = unit_hash(F.lit(seed), F.col("doc_id"))
+        at = at.withColumn("odds", F.when((F.col("p") > 0) & (F.col("size") > 0), (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))))
+        # Odds beyond 2^53 would round to 1, which no cell of the histogram holds.
+        order = F.least(F.col("odds") / (1 + F.col("odds")), F.lit(1 - 2.0**-53))
+        return at.withColumn("order", F.when(F.col("odds").isNotNull(), order)).drop("e", "p", "odds", "scale", "propensity")
+
+    at = ranked(rows)
     certain = at.groupBy("source").agg(F.max("target").alias("t"), F.sum(F.col("certain") * F.col("size")).alias("c"))
     residual = certain.select("source", (F.col("t") - F.col("c")).alias("residual")).where("residual > 0")
     rest = at.where("order is not null").select("source", "order", "doc_id", "size")
     rest = rest.join(residual, rest.source.eqNullSafe(residual.source)).drop(residual.source)
-    if whole:
-        spans = _whole_order(rest, scratch)
-        place = F.struct("order", "doc_id", "size")
-        fits = F.exists("spans", lambda x: (F.col("size") <= x["gap"]) & (place > x["after"]) & (place < x["over"]))
-        taken = at.join(spans, F.col("source").eqNullSafe(F.col("s")), "left")
-        return _copies(taken, F.col("order").isNotNull() & F.coalesce(fits, F.lit(False)), carry)
-    cut = _cut(rest, scratch)
-    marks = rest.drop("residual").join(cut, rest.source.eqNullSafe(cut.source)).drop(cut.source)
-    inside = marks.where((F.col("order") >= F.col("low")) & (F.col("order") < F.col("low") + F.col("width")))
-    run = F.sum("size").over(Window.partitionBy("source").orderBy("order", "doc_id", "size"))
-    inside = inside.withColumn("run", F.col("before") + run).where("run <= residual")
-    last = inside.groupBy("source").agg(F.max(F.struct("order", "doc_id", "size", "run")).alias("x"))
-    ends = cut.join(last, cut.source.eqNullSafe(last.source), "left")
-    gap = F.col("residual") - F.coalesce("x.run", "before")
-    ends = ends.select(cut.source.alias("s"), F.col("low").alias("below"), F.when(F.col("x").isNotNull(), F.struct("x.order", "x.doc_id", "x.size")).alias("end"), gap.alias("gap"))
-    ends = scratch.table(ends, "ends")
-    place = F.struct("order", "doc_id", "size")
-    inside = F.coalesce((F.col("order") < F.col("below")) | (place <= F.col("end")), F.lit(False))
-    ranked = at.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("inside", inside).drop("s", "below", "end")
-    ranked = scratch.table(ranked, "ranked")
-    gaps = ends.select(F.col("s"), "gap", F.array().cast(_PLACES).alias("fits"))
-    for _ in range(FITS):
-        open_ = ranked.where("order is not null and not inside").select("source", "order", "doc_id", "size")
-        open_ = open_.join(gaps, F.col("source").eqNullSafe(F.col("s"))).where((F.col("size") <= F.col("gap")) & ~F.array_contains("fits", place))
-        fit = open_.groupBy("source").agg(F.max(F.struct("size", -F.col("order"), place.alias("place"))).alias("x")).select("source", "x.place")
-        gaps = gaps.join(fit, F.col("source").eqNullSafe(F.col("s")), "left")
-        found = F.col("place").isNotNull()
-        gaps = gaps.select("s", F.when(found, F.col("gap") - F.col("place.size")).otherwise(F.col("gap")).alias("gap"), F.when(found, F.concat("fits", F.array("place"))).otherwise(F.col("fits")).alias("fits"))
-        gaps = scratch.table(gaps, "gaps")
-    taken = ranked.drop("gap").join(gaps, F.col("source").eqNullSafe(F.col("s")), "left")
-    extra = F.col("order").isNotNull() & (F.col("inside") | F.coalesce(F.array_contains("fits", place), F.lit(False)))
-    return _copies(taken, extra, carry)
-
-
-def _copies(taken: DataFrame, extra: Column, carry: tuple[str, ...]) -> DataFrame:
-    copies = F.col("certain") + F.when(extra, 1).otherwise(0)
-    return taken.select("doc_id", "size", "source_size", "target", "source", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *carry)
+    spans = _whole_order(rest, scratch)
+    whole = ranked(docs.select(*slim, F.struct(*carry).alias("_carried"))) if carry else at
+    taken = whole.join(spans, F.col("source").eqNullSafe(F.col("s")), "left")
+    fits = F.exists("spans", lambda x: (F.col("size") <= x["gap"]) & (place > x["after"]) & (place < x["over"]))
+    copies = F.col("certain") + F.when(F.col("order").isNotNull() & F.coalesce(fits, F.lit(False)), 1).otherwise(0)
+    out = taken.select("doc_id", "size", "source_size", "target", "source", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *(["_carried.*"] if carry else []))
+    return out

@@ -3,39 +3,30 @@
 from __future__ import annotations
 
 _WORDS = r"[^\x20\x09-\x0D]+"
-_FITS = 3
 
-
-def _mix() -> str:
-    fits = ""
-    for k in range(_FITS):
-        used = "".join(f" AND NOT coalesce(i.doc_id IS NOT DISTINCT FROM f{j}.doc_id AND i.ord = f{j}.ord AND i.size = f{j}.size, false)" for j in range(k))
-        earlier = "".join(f" LEFT JOIN f{j} ON f{j}.source IS NOT DISTINCT FROM i.source" for j in range(k))
-        fits += f""",
-f{k} AS (SELECT source, doc_id, ord, size FROM (SELECT i.source, i.doc_id, i.ord, i.size, row_number() OVER (PARTITION BY i.source ORDER BY i.size DESC, i.ord, i.doc_id) AS k
-  FROM ranked i JOIN gap{k} g ON g.source IS NOT DISTINCT FROM i.source{earlier} WHERE NOT i.inside AND i.size <= g.gap{used}) WHERE k = 1),
-gap{k + 1} AS (SELECT g.source, g.gap - coalesce(f.size, 0) AS gap FROM gap{k} g LEFT JOIN f{k} f ON f.source IS NOT DISTINCT FROM g.source)"""
-    chosen = " OR ".join(f"coalesce(f{k}.doc_id IS NOT DISTINCT FROM a.doc_id AND f{k}.ord = a.ord AND f{k}.size = a.size, false)" for k in range(_FITS))
-    joins = " ".join(f"LEFT JOIN f{k} ON f{k}.source IS NOT DISTINCT FROM a.source" for k in range(_FITS))
-    return f"""WITH sizes AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORDS}'))::BIGINT AS size FROM documents),
+#: In Pareto order each document that fits into what is left of its source's residual is taken: one step a document.
+MIX = f"""WITH RECURSIVE sizes AS (SELECT *, length(bin(size))::DOUBLE AS w FROM (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORDS}'))::BIGINT AS size FROM documents)),
 per AS (SELECT source, sum(size)::BIGINT AS total, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM sizes GROUP BY source),
 weighed AS (SELECT *, ([5, 2, 1])[(k - 1) % 3 + 1]::DOUBLE AS w, total * 3.0::DOUBLE AS cap FROM per),
 levels AS (SELECT *, (sum(total) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
 goals AS (SELECT source, total, least(cap, coalesce(max(CASE WHEN level <= cap / w THEN level END) OVER () * w, cap)) AS target FROM levels),
-shares AS (SELECT s.*, g.total, g.target, CASE WHEN g.total > 0 THEN g.target / g.total ELSE 0.0::DOUBLE END AS e,
+classes AS (SELECT source, w, sum(size)::BIGINT AS size FROM sizes GROUP BY source, w),
+tried AS (SELECT c.source, c.w, g.target < 3.0::DOUBLE * g.total AS open, (g.target - 3.0::DOUBLE * coalesce(sum(c.size) OVER (PARTITION BY c.source ORDER BY c.w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+  / nullif(sum(c.size * c.w) OVER (PARTITION BY c.source ORDER BY c.w DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS scale FROM classes c JOIN goals g ON g.source IS NOT DISTINCT FROM c.source),
+scales AS (SELECT source, arg_max(scale, w) FILTER (WHERE open AND scale * w <= 3) AS scale FROM tried GROUP BY source),
+shares AS (SELECT s.*, g.total, g.target, coalesce(least(x.scale * s.w, 3.0::DOUBLE), 3.0::DOUBLE) AS e,
   (('0x' || substr(md5(concat('7:', coalesce(s.doc_id::VARCHAR, 'null'))), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
-  FROM sizes s JOIN goals g ON g.source IS NOT DISTINCT FROM s.source),
+  FROM sizes s JOIN goals g ON g.source IS NOT DISTINCT FROM s.source JOIN scales x ON x.source IS NOT DISTINCT FROM s.source),
 odds AS (SELECT *, floor(e)::BIGINT AS certain, CASE WHEN e - floor(e) > 0 AND size > 0 THEN (u / (1 - u)) / ((e - floor(e)) / (1 - (e - floor(e)))) END AS q FROM shares),
-ordered AS (SELECT *, q / (1 + q) AS ord FROM odds),
-left_over AS (SELECT source, max(target) - sum(certain * size) AS residual FROM ordered GROUP BY source),
-runs AS (SELECT o.source, o.doc_id, o.size, o.ord, l.residual, sum(o.size) OVER (PARTITION BY o.source ORDER BY o.ord, o.doc_id, o.size) AS run
-  FROM ordered o JOIN left_over l ON l.source IS NOT DISTINCT FROM o.source WHERE o.ord IS NOT NULL AND l.residual > 0),
-ranked AS (SELECT *, run <= residual AS inside FROM runs),
-gap0 AS (SELECT source, max(residual) - coalesce(max(run) FILTER (WHERE inside), 0) AS gap FROM ranked GROUP BY source){fits},
-picked AS (SELECT a.source, a.doc_id, a.ord, a.size FROM ranked a {joins} WHERE a.inside OR {chosen})
+ordered AS MATERIALIZED (SELECT *, least(q / (1 + q), 1 - 1 / 9007199254740992.0::DOUBLE) AS ord FROM odds),
+left_over AS (SELECT source, max(target) - sum(certain * size)::DOUBLE AS residual FROM ordered GROUP BY source),
+ranked AS MATERIALIZED (SELECT source, doc_id, size, ord, row_number() OVER (PARTITION BY source ORDER BY ord, doc_id, size) AS k FROM ordered WHERE q IS NOT NULL),
+walk AS (SELECT source, 0::BIGINT AS k, residual AS gap, false AS took FROM left_over
+  UNION ALL SELECT a.source, r.k, a.gap - CASE WHEN r.size <= a.gap THEN r.size ELSE 0 END, r.size <= a.gap FROM walk a JOIN ranked r ON r.source IS NOT DISTINCT FROM a.source AND r.k = a.k + 1),
+picked AS (SELECT r.doc_id, r.ord, r.size FROM ranked r JOIN walk a ON a.source IS NOT DISTINCT FROM r.source AND a.k = r.k WHERE a.took)
 SELECT o.doc_id::BIGINT AS doc_id, o.size, o.total AS source_size, o.target, ((o.certain + CASE WHEN p.ord IS NOT NULL THEN 1 ELSE 0 END) * o.size)::BIGINT AS taken
-FROM ordered o LEFT JOIN (SELECT DISTINCT * FROM picked) p ON p.source IS NOT DISTINCT FROM o.source AND p.doc_id IS NOT DISTINCT FROM o.doc_id AND p.ord = o.ord AND p.size = o.size"""
+FROM ordered o LEFT JOIN picked p ON p.doc_id IS NOT DISTINCT FROM o.doc_id AND p.ord = o.ord AND p.size = o.size"""
 
 
 _COMPONENTS = """both_ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
@@ -76,7 +67,7 @@ SELECT page_id::BIGINT AS page_id, n AS payload_bytes, d AS payload_digest, CASE
 
 def sql() -> dict[str, str]:
     return {
-        "op1_pareto_mix": _mix(),
+        "op1_pareto_mix": MIX,
         "op2_minmax_near_duplicates": NEAR_DUPLICATES,
         "op4_embedding_near_duplicates": NEAR_VECTORS,
         "op5_exact_top_k": TOP_K,

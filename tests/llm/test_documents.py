@@ -159,7 +159,7 @@ def test_mix_goes_on_behind_a_very_long_document(spark):
             gap -= mine[i] * take
             want[i] = certain + take
     assert want[long] == 0 and sum(want[i] for i in range(301)) == 300
-    got = {r.doc_id: r.copies for r in mix.mix(spark.createDataFrame(rows, DOCS), weights=(1, 1)).collect()}
+    got = {r.doc_id: r.copies for r in mix.mix(spark.createDataFrame(rows, DOCS), weights=(1, 1), propensity=None).collect()}
     assert got == want
 
 
