@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from seasonspark.llm import minhash, mix, packing, toxicity
 from seasonspark.llm.queries import TOKENIZER
-from seasonspark.llm.scratch import Scratch
+from seasonspark.llm.scratch import Scratch, owned, release
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Packing draws on several stages and a tokenizer's neighbours: no SQL for the rows.
@@ -43,7 +43,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture of sources by weights 5, 2, 1; a document that is taken several times is repeated."""
+    """The mixture of sources by weights 5, 2, 1, longer texts likelier; a document that is taken several times is repeated."""
     mixed = mix.mix(docs, weights=(5, 2, 1), max_ratio=3, carry=("text", "lang", "n_chars"))
     copies = F.explode(F.expr("sequence(1, int(copies))"))
     return mixed.where("copies > 0").select("*", copies.alias("copy")).select(*COLUMNS)
@@ -64,10 +64,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents. Once a stage's output is written, what the stage made and read goes."""
     docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = scratch.table(docs, name)
-    return docs
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        with owned() as made:
+            before, docs = docs, scratch.table(stage(spark, docs, sf_dir), name)
+        release(spark, made)
+        if i:
+            scratch.drop(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
