@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Weights of hashed features, and words whose sum a worker remembers.
 DIMENSIONS, KNOWN_WORDS = 1 << 20, 150_000
+#: Evidence a feature needs and the first bias.
+EVIDENCE, START, DAMPING, BALANCE = 1.4, -6.0, 1.0, 0.5
 _SENTENCE = re.compile(rb"[^.!?\n]+")
 _EDGE = b".,;:!?\"'()[]{}<>*_-"
 
@@ -77,12 +79,14 @@ def _evidence(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
         return 2 * sum(np.nan_to_num(x * np.log(x * (totals.sum() / totals[:, None]) / n)).sum(0) for x, n in rows)
 
 
-def train(texts: list[bytes], labels: list[int], *, epochs: int = 8, rate: float = 0.3, l2: float = 1e-6, evidence: float | None = None, seed: int = 3) -> Model:
+def train(
+    texts: list[bytes], labels: list[int], *, epochs: int = 16, rate: float = 0.3, l2: float = 1e-6, evidence: float = EVIDENCE, start: float = START, least: int = 3, damping: float = DAMPING, balance: float = BALANCE, seed: int = 3
+) -> Model:
     """AdaGrad on the noisy-or likelihood of the document labels.
 
-    Features whose presence in documents tells too little about the label (likelihood ratio below
-    ``evidence``, else 1.4 times the logarithm of the number of documents) keep weight 0, so that a long text
-    does not add up chance findings.
+    Features in fewer than ``least`` documents, or whose presence tells too little about the label (likelihood ratio below
+    ``evidence`` times the logarithm of the number of documents), keep weight 0, so that a long text
+    does not add up chance findings. The bias starts at ``start``.
     """
     hashed: dict[bytes, list[int]] = {}
     counts, rows = np.zeros((2, DIMENSIONS)), []
@@ -99,9 +103,8 @@ def train(texts: list[bytes], labels: list[int], *, epochs: int = 8, rate: float
         if len(hashed) > KNOWN_WORDS:
             hashed.clear()
     totals = np.bincount(labels, minlength=2).astype(float)
-    least = 1.4 * np.log(max(2, len(labels))) if evidence is None else evidence
-    telling = (counts.sum(0) > 2) & (_evidence(counts, np.maximum(totals, 1)) >= least)
-    weights, power, bias, bias_power = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-2), -10.0, 1.0
+    telling = (counts.sum(0) >= least) & (_evidence(counts, np.maximum(totals, 1)) >= evidence * np.log(max(2, len(labels))))
+    weights, power, bias, bias_power = np.zeros(DIMENSIONS), np.full(DIMENSIONS, damping), start, 1.0
     docs = []
     for f, sizes, y in rows:
         if len(sizes):  # a sentence without telling words counts with the bias alone
@@ -112,7 +115,7 @@ def train(texts: list[bytes], labels: list[int], *, epochs: int = 8, rate: float
     positive = sum(d[3] for d in docs)
     if not positive or positive == len(docs):
         return Model(np.zeros(DIMENSIONS, np.float32), 30.0 if positive else -30.0)
-    share = {1: 0.5 * len(docs) / positive, 0: 0.5 * len(docs) / (len(docs) - positive)}
+    share = {1: (0.5 * len(docs) / positive) ** balance, 0: (0.5 * len(docs) / (len(docs) - positive)) ** balance}
     for _ in range(epochs):
         for i in rng.permutation(len(docs)):
             f, at, n, y = docs[i]
