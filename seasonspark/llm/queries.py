@@ -70,7 +70,7 @@ def op7_sentence_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = Scratch(spark, "warc").path("archives")
     archives = warc.write_pages(_table(spark, sf_dir, "pages"), folder)
-    records = warc.read_archives(archives.select("uri")).where("kind = 'record'")
+    records = warc.read_archives(archives, expected=F.col("records"))  # damage is an error, not fewer pages
     page = lambda urn: F.expr(f"try_cast(regexp_extract({urn}, '^<urn:page:(.*)>$', 1) AS bigint)")
     whole = F.col("type") == "response"
     return records.select(

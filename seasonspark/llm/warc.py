@@ -14,11 +14,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seasonspark.llm.components import join_per_key
 from seasonspark.llm.files import AtomicFile, filesystem
 from seasonspark.llm.scratch import Scratch
 
-#: Size at which a file is closed, bytes read at once, and the longest header that is searched for its end.
-FILE_BYTES, CHUNK, HEADER_BYTES = 1 << 26, 1 << 18, 1 << 20
+#: Size at which a file is closed, bytes read at once, and rows of a list of shared payloads that may be broadcast.
+FILE_BYTES, CHUNK, BROADCAST_ROWS = 1 << 26, 1 << 18, 300_000
 #: Fixed values of the WARC 1.1 format.
 VERSION, GZIP = b"WARC/1.", b"\x1f\x8b\x08"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -75,13 +76,16 @@ class Salvager:
         return (b"".join(out), pos - len(unpacker.unused_data)) if unpacker.eof else None
 
     def _plain(self, at: int) -> tuple[bytes, int] | None:
-        data, pos = b"", at
-        while _HEADER_END not in data:
-            more = self.file.read_at(min(CHUNK, self.size - pos), pos) if pos < self.size and len(data) < HEADER_BYTES else b""
-            if not more:
+        # The header ends before the next version line or the end of the file, however long it is.
+        data, pos, seen = bytearray(), at, 0
+        while (head := data.find(_HEADER_END, max(0, seen - 3))) < 0:
+            more = self.file.read_at(min(CHUNK, self.size - pos), pos)
+            if not more or data.find(b"\n" + VERSION, max(0, seen - len(VERSION))) >= 0:
                 return None
-            data, pos = data + more, pos + len(more)
-        head = data.index(_HEADER_END) + 4
+            seen = len(data)
+            data += more
+            pos += len(more)
+        data, head = bytes(data), head + 4
         length = _headers(data[: head - 4]).get("content-length", "")
         if not length.isdigit() or at + head + int(length) + 4 > self.size:
             return None
@@ -136,13 +140,20 @@ def write_pages(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_c
 
     The payload is the body in UTF-8, null: empty. Of the rows with equal payloads of at least ``least_bytes``
     bytes that with the smallest id (nulls last) is a response, the others revisit it, unless they bear its
-    id or it has none. First ids are pre-aggregated by digest and joined back, so that a payload may be
-    shared by any part of the rows. Files close at about 64 MB; a task that is run again writes the same names.
+    id or it has none. Shared digests are pre-aggregated; a list of up to ``BROADCAST_ROWS`` of them is broadcast, so that
+    no body is shuffled; beyond that bodies are joined by digest, those of digests with many rows by broadcast.
+    Null urls are ``urn:none``. Files close at about 64 MB; a task that is run again writes the same names. Memory is bounded
+    by the longest body. Other columns are ignored, whatever their names. An empty table gives no archive.
     """
     body = F.coalesce(F.col(body_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), body.alias("body")).withColumn("digest", F.sha2("body", 256))
+    scratch = Scratch(pages.sparkSession, "archives")
     firsts = rows.where((F.octet_length("body") >= least_bytes) & F.col("id").isNotNull()).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    rows = rows.join(firsts.where("n > 1").drop("n"), "digest", "left")
+    shared = scratch.table(firsts.where("n > 1"), "shared")
+    if shared.count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(shared.drop("n")), "digest", "left")
+    else:
+        rows = join_per_key(rows, shared, "digest", "n", pages.count())
     rows = rows.select("id", "url", "body", "digest", F.when(F.col("id").isNull() | (F.col("id") > F.col("first")), F.col("first")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +177,7 @@ def write_pages(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_c
             made.append((out.uri, count))
         yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64())], names=["uri", "records"])
 
-    return Scratch(pages.sparkSession, "archives").table(rows.mapInArrow(run, "uri string, records long"), "archives")
+    return scratch.table(rows.mapInArrow(run, "uri string, records long"), "archives")
 
 
 SCHEMA = pa.schema(
@@ -187,27 +198,37 @@ def _row(uri: str, f: Found) -> tuple:
     return ("record", uri, f.offset, f.length, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-refers-to"), h.get("warc-payload-digest"), entity, payload)
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(SCHEMA)], schema=SCHEMA)
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for uri in batch.column(0).to_pylist():
-            source, rows, size = Salvager(uri), [], 0
+        for uri, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            source, rows, size, whole, gaps = Salvager(uri), [], 0, 0, 0
             for found in source:
                 rows.append(_row(uri, found))
                 size += len(found.block)
+                whole, gaps = whole + (found.headers is not None), gaps + (found.headers is None)
                 if size > 4_000_000 or len(rows) >= 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SCHEMA, strict=True)], schema=SCHEMA)
+                    yield _batch(rows)
                     rows, size = [], 0
             source.close()
+            if expected is not None and (whole != expected or gaps):
+                raise ValueError(f"{uri}: {whole} whole records and {gaps} gaps, {expected} records were written")
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SCHEMA, strict=True)], schema=SCHEMA)
+                yield _batch(rows)
 
 
-def read_archives(archives: DataFrame, *, uri: Column | str = "uri") -> DataFrame:
+def read_archives(archives: DataFrame, *, uri: Column | str = "uri", expected: Column | None = None) -> DataFrame:
     """Records and gaps of the archives, gzip or plain.
 
     ``kind`` is ``record`` or, for quarantined bytes, ``gap`` with offset and length alone. A record whose
     member, version line, length or block digest fails is skipped up to the next offset at which all hold;
-    later records are read as usual. Memory is bounded by the longest record.
+    later records are read as usual. Where ``expected`` tells how many records an archive has, the reader raises an
+    error if it finds a gap or another number. Memory is bounded by the longest record. Empty files hold
+    nothing, an empty table gives an empty result.
     """
     n = max(1, min(archives.count(), 10 * archives.sparkSession.sparkContext.defaultParallelism))
-    return archives.select(uri).repartition(n).mapInArrow(_read, DDL)
+    expected = expected if expected is not None else F.lit(None)
+    return archives.select(uri, expected.cast("long").alias("expected")).repartition(n).mapInArrow(_read, DDL)
