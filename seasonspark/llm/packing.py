@@ -10,9 +10,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seasonspark.llm.scratch import Scratch
 from seasonspark.llm.tokens import encoder, in_slices
 
 K1, B = 1.2, 0.75
+MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Neighbours that are sorted at once, and successive ids that are hashed together for dealing.
+FIRST, RUN = 64, 4
 SCHEMA = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())]
 )
@@ -37,8 +41,8 @@ class Bm25:
         self.doc, self.weight = doc[order], weight[order]
         self.ends = np.concatenate([[0], np.cumsum(df)])
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents by falling score against the seed's terms that others share; ties by position."""
+    def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
+        """Unused documents with a score, by falling score against the seed's terms that others share; ties by position."""
         terms = self.terms[seed].astype(np.int64)
         terms = terms[self.df[terms] > 1]
         if self.query_terms is not None:
@@ -46,7 +50,12 @@ class Bm25:
         counts = self.df[terms]
         at = np.arange(counts.sum()) + np.repeat(self.ends[terms] - np.cumsum(counts) + counts, counts)
         scores = np.bincount(self.doc[at], self.weight[at], self.size)
-        return (order := np.argsort(-scores, kind="stable"))[unused[order]]
+        found = np.flatnonzero((scores > 0) & unused)
+        while len(found):  # few are asked for, so they are sorted in parts
+            least = np.partition(scores[found], -min(FIRST, len(found)))[-min(FIRST, len(found))]
+            part = found[scores[found] >= least]
+            yield from part[np.argsort(-scores[part], kind="stable")].tolist()
+            found = found[scores[found] < least]
 
 
 class Windows:
@@ -91,26 +100,57 @@ class Windows:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(SCHEMA)], schema=SCHEMA)
 
 
-def _fill(windows: Windows, docs: list[tuple], query_terms: int | None = None) -> None:
+def _fill(windows: Windows, docs: list[tuple], carry: int = 0, query_terms: int | None = None) -> list[tuple]:
+    """Fill windows from a shard. When no unused document has a score and at most ``carry`` ids are left,
+    the rest is returned to be tried with the next shard; with ``carry`` 0 it goes in by position."""
     index = Bm25([np.frombuffer(d[1], "<u4") for d in docs], query_terms)
-    unused, seed, at = np.ones(len(docs), bool), 0, 0
+    unused, seed, at, left = np.ones(len(docs), bool), 0, 0, sum(d[2] for d in docs)
     while True:
         while at < len(docs) and not unused[at]:
             at += 1
         if at == len(docs):
-            return
+            return []
         seed, unused[at] = at, False
+        left -= docs[seed][2]
         room = windows.add(docs[seed])
         while room:
             before = windows.next_id
             for other in index.neighbours(seed, unused):
                 unused[other] = False
+                left -= docs[other][2]
                 room = windows.add(docs[other])
                 if windows.next_id != before:  # the window is full; what is left of this document seeds the next
                     seed = other
                     break
             else:
-                return
+                if 0 < left <= carry:
+                    return [docs[i] for i in np.flatnonzero(unused)]
+                break
+
+
+def lexical_key(ids: np.ndarray) -> int:
+    """The least hash of a document's runs of ``RUN`` ids: documents share it as often as they share such runs."""
+    x = ids.astype(np.uint64)
+    n = max(1, len(x) - RUN + 1)
+    h = x[:n].copy()
+    for j in range(1, min(RUN, len(x))):
+        h = (h ^ (h >> np.uint64(29))) * MIX + x[j : n + j]
+    h = (h ^ (h >> np.uint64(29))) * MIX
+    return int((h ^ (h >> np.uint64(32))).min() >> np.uint64(1))
+
+
+def _encoded(tokenizer: str, end_id: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, end = encoder(tokenizer).encode, int(end_id).to_bytes(4, "little")
+        for batch in batches:
+            at = 0
+            for texts in in_slices(t.as_py() or b"" for t in batch.column(1).cast(pa.binary())):
+                data = [d + end for d in encode(texts)]
+                keys = [lexical_key(np.frombuffer(d, "<u4")) for d in data]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(data)).cast(pa.int64()), pa.array(keys, pa.int64()), pa.array(data, pa.binary())], names=["id", "key", "ids"])
+                at += len(data)
+
+    return run
 
 
 def pack(
@@ -118,34 +158,36 @@ def pack(
 ) -> DataFrame:
     """Pieces ``(doc_id, start, length, doc_tokens, sequence_id, offset, ids)`` of packed sequences.
 
-    Every document is its token ids and ``end_id`` (a null or empty text: that id alone). A task reads
-    its documents once, in shards of about ``shard_tokens`` ids; within a shard a seed document opens a
+    Every document is its token ids and ``end_id`` (a null or empty text: that id alone). Documents are dealt by
+    ``lexical_key``, so that like ones meet wherever they stood; a group of copies of any size is spread over the ranges
+    it takes. A task packs its range in shards of about ``shard_tokens`` ids: a seed document opens a
     window, the unused documents most like it by BM25 (all its terms, or its ``query_terms`` rarest shared ones)
-    fill it, and the one that is cut seeds the next. The open window goes on into the next shard. A task's last
+    fill it, and the one that is cut seeds the next. What has no score is tried with the next shard. A task's last
     window is split into sequences whose lengths are powers of two, so nothing is padded.
 
-    Nothing is shuffled; memory is bounded by a shard or the longest document. Rows with equal or null
-    ids are documents of their own. ``ids`` holds little-endian unsigned 32-bit integers.
+    Memory is bounded by a shard or the longest document; very long texts are encoded whole and cut into windows. Rows
+    with equal or null ids are documents of their own. Other columns are ignored, whatever their names. An empty table
+    gives an empty result. ``ids`` holds little-endian unsigned 32-bit integers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer).encode, int(end_id).to_bytes(4, "little")
         windows = Windows(window, TaskContext.get().partitionId() << 40)
         shard, size = [], 0
         for batch in batches:
-            ids, at = batch.column(0).cast(pa.int64()).to_pylist(), 0
-            for texts in in_slices(t.as_py() or b"" for t in batch.column(1).cast(pa.binary())):
-                for data in encode(texts):
-                    data += end
-                    shard.append((ids[at], data, len(data) // 4))
-                    size, at = size + len(data) // 4, at + 1
-                    if size >= shard_tokens:
-                        _fill(windows, shard, query_terms)
-                        shard, size = [], 0
-                        yield windows.batch()
+            for i, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = data.as_py()
+                shard.append((i, data, len(data) // 4))
+                size += len(data) // 4
+                if size >= shard_tokens:
+                    shard = _fill(windows, shard, shard_tokens // 2, query_terms)
+                    size = sum(d[2] for d in shard)
+                    yield windows.batch()
         if shard:
-            _fill(windows, shard, query_terms)
+            _fill(windows, shard, 0, query_terms)
         windows.finish()
         yield windows.batch()
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, DDL)
+    rows = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_encoded(tokenizer, end_id), "id long, key long, ids binary")
+    rows = Scratch(docs.sparkSession, "packing").table(rows, "tokens")
+    dealt = rows.withColumn("place", F.monotonically_increasing_id()).repartitionByRange("key", "place").sortWithinPartitions("key", "place")
+    return dealt.select("id", "ids").mapInArrow(run, DDL)
