@@ -226,7 +226,7 @@ def test_neighbours_rank_by_shared_rare_terms():
     docs = [np.array(x) for x in ([1, 2, 3, 9], [1, 2, 50, 51], [1, 3, 9, 9], [60, 61, 62, 63])]
     index = packing.Bm25(docs, 64)
     unused = np.array([False, True, True, True])
-    assert index.neighbours(0, unused).tolist() == [2, 1, 3]
+    assert list(index.neighbours(0, unused)) == [2, 1]  # the last one shares nothing
 
 
 def test_long_seed_finds_a_like_document():
@@ -235,7 +235,7 @@ def test_long_seed_finds_a_like_document():
     others = [rng.integers(0, 400, 300) for _ in range(20)]
     docs = [np.concatenate([own, shared]), *others, np.concatenate([shared, others[0][:50]])]
     unused = np.arange(len(docs)) > 0
-    assert packing.Bm25(docs).neighbours(0, unused)[0] == len(docs) - 1
+    assert next(packing.Bm25(docs).neighbours(0, unused)) == len(docs) - 1
     windows = packing.Windows(1400, 0)
     packing._fill(windows, [(i, d.astype("<u4").tobytes(), len(d)) for i, d in enumerate(docs)])
     windows.finish()
@@ -246,7 +246,7 @@ def test_packing_puts_like_with_like():
     rng = np.random.default_rng(0)
     docs = [(i, (rng.integers(0, 50, 60) + 1000 * (i % 4)).astype("<u4").tobytes(), 60) for i in range(80)]
     windows = packing.Windows(600, 0)
-    packing._fill(windows, docs, 64)
+    packing._fill(windows, docs, query_terms=64)
     windows.finish()
     kinds = defaultdict(set)
     for piece in windows.done:
@@ -254,6 +254,41 @@ def test_packing_puts_like_with_like():
     assert sum(len(k) == 1 for k in kinds.values()) >= len(kinds) - 4
 
 
+def test_neighbours_come_in_order_beyond_the_first(monkeypatch):
+    monkeypatch.setattr(packing, "FIRST", 3)
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(0, 40, 20) for _ in range(50)]
+    index, unused = packing.Bm25(docs), np.arange(50) % 3 > 0
+    got = list(index.neighbours(0, unused))
+    one = lambda d: sum(index.weight[k] for t in np.unique(docs[0]) if index.df[t] > 1 for k in range(index.ends[t], index.ends[t + 1]) if index.doc[k] == d)
+    want = sorted((d for d in range(50) if unused[d] and one(d) > 0), key=lambda d: (-round(one(d), 9), d))
+    assert got == want
+
+
+def test_what_has_no_score_is_tried_with_the_next_shard():
+    make = lambda i, low: (i, (np.arange(30) + low).astype("<u4").tobytes(), 30)
+    windows = packing.Windows(90, 0)
+    left = packing._fill(windows, [make(0, 0), make(1, 100), make(2, 10)], carry=100)
+    assert [d[0] for d in left] == [1]
+    assert packing._fill(windows, [*left, make(3, 110), make(4, 200)], carry=0) == []
+    windows.finish()
+    assert [p[0] for p in windows.done if p[4] == 0] == [0, 2, 1] and [p[0] for p in windows.done][3] == 3
+
+
+def test_like_documents_meet_from_far_apart(spark):
+    rng = random.Random(6)
+    words = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "klmnp"]
+    text = lambda: [rng.choice(words) for _ in range(60)]
+    pairs = [text() for _ in range(60)]
+    rows = [(i, " ".join(p), "s", "x") for i, p in enumerate(pairs)] + [(1000 + i, " ".join(text()), "s", "x") for i in range(600)]
+    rows += [(100 + i, " ".join([*p[:55], "kak", "kek"]), "s", "x") for i, p in enumerate(pairs)]
+    got = packing.pack(spark.createDataFrame(rows, DOCS).repartitionByRange(4, "doc_id"), PATH, window=1024, shard_tokens=6000).collect()
+    at = defaultdict(set)
+    for r in got:
+        at[r.doc_id].add(r.sequence_id)
+    assert sum(bool(at[i] & at[100 + i]) for i in range(60)) >= 45
+
+
 def test_token_shards_round_trip(spark, monkeypatch):
     monkeypatch.setattr(sstable, "BLOCK_BYTES", 500)
     rows = corpus() + [(None, "no id", "a", "x"), (3, "again", "a", "x"), (-7, "below", "a", "x")]
@@ -322,6 +357,41 @@ def test_toxicity_on_held_out_documents(spark):
         assert all(0 <= s.start < s.end <= len(t) for s in got[i].offending)
 
 
+def test_noisy_or_by_brute_force():
+    model = toxicity.train(*zip(*((t.encode(), y) for _, t, y in labelled(300, 2)), strict=True))
+    for _, t, _ in labelled(40, 9):
+        clean, spans = 1.0, []
+        for m in re.finditer(r"[^.!?\n]+", t):
+            words = {w.strip(".,;:!?\"'()[]{}<>*_-").lower() for w in m[0].split()} - {""}
+            z = model.bias + sum(float(model.weights[f]) for w in words for f in toxicity.features(w.encode()))
+            p = 1 / (1 + np.exp(-z))
+            clean *= 1 - p
+            if p >= 0.5:
+                spans.append((m.start(), m.end()))
+        got, found = model.score(t.encode())
+        assert got == pytest.approx(1 - clean, abs=1e-5) and [(a, b) for a, b, _ in found] == spans
+    assert model.bias < 0 and np.count_nonzero(model.weights) > 0
+
+
+def test_training_raises_the_likelihood():
+    rows = [(t.encode(), y) for _, t, y in labelled(200, 3)]
+    texts, ys = [t for t, _ in rows], [y for _, y in rows]
+
+    def loss(model):
+        p = np.clip([model.score(t)[0] for t in texts], 1e-9, 1 - 1e-9)
+        return -np.mean(np.where(ys, np.log(p), np.log(1 - p)))
+
+    assert loss(toxicity.train(texts, ys)) < 0.5 * loss(toxicity.train(texts, ys, epochs=0))
+
+
+def test_a_score_of_one_half_is_toxic_and_long_texts_are_whole(spark):
+    model = toxicity.Model(np.zeros(toxicity.DIMENSIONS, np.float32), 0.0)
+    rows = [(1, "one sentence", "s", "x"), (2, "two. two", "s", "x"), (3, "a" * 3_000_000, "s", "x"), (4, "b. " * 100_000, "s", "x")]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(rows, DOCS), model).collect()}
+    assert got[1].score == 0.5 and len(got[1].offending) == 1 and got[2].score == 0.75 and got[3].score == 0.5
+    assert got[4].score == 1.0 and len(got[4].offending) == 100_000
+
+
 def test_toxicity_without_examples(spark):
     docs = spark.createDataFrame([(1, "a b", "s", "x")], DOCS)
     for rows in ([], [(1, 0)], [(1, None)]):
@@ -329,3 +399,29 @@ def test_toxicity_without_examples(spark):
         assert toxicity.score(docs, model).first().score < 0.5
     assert toxicity.score(spark.createDataFrame([], DOCS), model).count() == 0
     assert toxicity.score(docs.withColumn("score", F.lit("old")), model).dtypes[-2] == ("score", "double")
+
+
+def test_other_columns_of_any_name_are_ignored(spark):
+    rows = corpus()[:40] + [(9000, "word " * 50_000, "a", "x")]
+    plain = spark.createDataFrame(rows, DOCS)
+    names = "id n key buckets component_id kept size source_size target copies taken e order certain s scale propensity ids start length tie place label bucket pivot".split()
+    wide = plain.select("*", *(F.lit("x").alias(n) for n in names))
+    for run in (
+        lambda d: minhash.near_duplicates(d), lambda d: mix.mix(d), lambda d: packing.pack(d, PATH).select("doc_id", "start", "length", "doc_tokens"),
+        lambda d: sstable.read_shards(sstable.write_shards(d, PATH, Scratch(spark, "test").path("sst"))).select("doc_id", "start"),
+    ):
+        assert sorted(map(str, run(wide).collect())) == sorted(map(str, run(plain).collect()))
+    with pytest.raises(ValueError):
+        mix.mix(wide, carry=("taken",))
+
+
+def test_bands_miss_few_pairs_at_the_threshold():
+    rng = np.random.default_rng(3)
+    hashing = minhash.MinMax(40, 5, 20)
+    for both, union in ((4, 5), (8, 10), (40, 50)):
+        match = []
+        for _ in range(300):
+            s = rng.integers(0, 2**64, union, np.uint64)
+            a, b = s[: union - (union - both) // 2], np.concatenate([s[:both], s[union - (union - both) // 2 :]])
+            match.append((hashing.buckets(np.unique(a)) == hashing.buckets(np.unique(b))).mean())
+        assert (1 - np.mean(match)) ** 40 < 1e-5

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from seasonspark.llm import chat, style_tree, warc
+from seasonspark.llm import chat, components, style_tree, warc
 from seasonspark.llm.scratch import Scratch
 
 PAGES = "page_id long, url string, html string, host string"
@@ -144,9 +144,94 @@ def test_text_beside_an_article_is_judged_by_the_tree(spark):
     assert got == {i: ("Teaser " if i % 4 == 2 else "") + t for i, t in enumerate(texts)}
 
 
-def test_articles_of_a_site_may_quote_each_other():
-    html = "<article><h1>Same title</h1><p>Same words</p></article>"
-    assert style_tree.main_text(html, frozenset({"/article/h1", "/article"})) == "Same title Same words"
+def sentence(rng, n=20):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+
+
+def by_tree_and_by_name(spark, pages):
+    rows = [(i, f"http://h.example/{i}", p, "x") for i, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in style_tree.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    return [got[i] for i in range(len(pages))], [style_tree.main_text(p) for p in pages]
+
+
+def test_the_tree_decides_within_articles(spark):
+    rng = random.Random(2)
+    texts, notes = [sentence(rng) for _ in range(30)], [sentence(rng, 5) for _ in range(30)]
+    pages = [f'<article><h1>Daily news</h1><p>{t}</p><div class="x1">Read us every day</div><p class="notice">{n}</p><div class="search-results">Hits <i>here</i></div></article>' for t, n in zip(texts, notes, strict=True)]
+    tree, names = by_tree_and_by_name(spark, pages)
+    assert tree == [f"Daily news {t} {n}" for t, n in zip(texts, notes, strict=True)]
+    assert names == [f"Daily news {t} Read us every day {n} Hits here" for t, n in zip(texts, notes, strict=True)]
+
+
+def test_copies_of_an_article_are_no_template(spark):
+    rng = random.Random(3)
+    page = lambda t: f"<nav><a href=/>{sentence(rng, 3)}</a></nav><div class=top>Welcome</div><article><h1>T</h1><section><p>{t}</p></section></article>"
+    same = sentence(rng)
+    tree, _ = by_tree_and_by_name(spark, [page(same) for _ in range(25)] + [page(sentence(rng)) for _ in range(5)])
+    assert tree[:25] == [f"T {same}"] * 25 and all(t.startswith("T ") for t in tree[25:])
+    tree, _ = by_tree_and_by_name(spark, ["<body><div><p>All the same</p></div></body>"] * 30)
+    assert tree == ["All the same"] * 30
+
+
+def test_names_do_not_decide_alone(spark):
+    rng = random.Random(4)
+    texts = [sentence(rng, 60) for _ in range(30)]
+    tree, names = by_tree_and_by_name(spark, [f'<div class="social"><p>{t}</p></div><div class="promo"><p>{sentence(rng, 4)}</p></div>' for t in texts])
+    assert tree == texts and set(names) == {""}  # a named block that holds most of the text
+    links = "".join(f"<li><a href=/{k}>{{}}</a></li>" for k in range(4))
+    tree, names = by_tree_and_by_name(spark, [f"<ul class=all>{links.format(*(sentence(rng, 2) for _ in range(4)))}</ul><div class=story><p>{t}</p></div>" for t in texts])
+    assert tree == texts and all(len(n) > len(t) for n, t in zip(names, texts, strict=True))  # an unnamed menu that varies
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    ('<p><a title="x > y">link</a> t</p>', "link t"), ("<p class=a title='b > c' d>it's</p><p don't>q</p>", "it's q"), ('<p x="unclosed>text</p>', "text"),
+    ('<article><p>Teaser</p></article><div class="story">Story</div>', "Teaser Story"), ("<!-->x<!-- y --!>z", "xz"), ("a</>b</ c>d<!doctype x>", "abd"), ("x<!-- cut <p>y", "x"),
+])
+def test_markup_is_told_from_text(html, want):
+    assert style_tree.main_text(html) == want
+
+
+def test_odd_markup_takes_linear_time():
+    for html in ("<a <b " * 100_000, '<p x="y' * 100_000, "<!-- " * 100_000, "<div>" * 100_000 + "x", "<" * 100_000, "<p a='" * 50_000):
+        assert len(style_tree.nodes(html)) <= 100_001
+
+
+def test_pages_with_other_columns(spark):
+    rows = [(1, "u", "<p>a</p>", "x"), (1, None, None, "x"), (None, "u", "<p>" + "long " * 200_000, "x")]
+    wide = spark.createDataFrame(rows, PAGES).select("*", *(F.lit("x").alias(n) for n in "text path paths salt id body digest first n uri kind prior".split()))
+    assert sorted((r.page_id or 0, r.url, len(r.text)) for r in style_tree.extract(wide).collect() if r.url) == [(0, "u", 999_999), (1, "u", 1)]
+    got = warc.read_archives(warc.write_pages(wide, Scratch(spark, "test").path("warc"))).collect()
+    assert sorted(len(r.payload) for r in got) == [0, 8, 1_000_003]
+
+
+@pytest.mark.parametrize("bound", [300_000, 0])
+def test_shared_payloads_beyond_the_broadcast(spark, monkeypatch, bound):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", bound)
+    monkeypatch.setattr(components, "HOT_ROWS", 20)
+    rows = [(i, "u", f"{'hot' if i % 3 else i % 50} " * 60, "x") for i in range(300)]
+    got = warc.read_archives(written(spark, rows)).collect()
+    first = {}
+    for i, _, body, _ in rows:
+        first.setdefault(body, i)
+    want = {(f"<urn:page:{i}>", None if first[b] == i else f"<urn:page:{first[b]}>") for i, _, b, _ in rows}
+    assert {(r.record_id, r.refers_to) for r in got} == want and len(got) == 300
+
+
+def test_damage_is_an_error_where_the_number_of_records_is_known(spark, tmp_path):
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(records(3)))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(records(2)) + b"junk")
+    of = lambda name, n: warc.read_archives(spark.createDataFrame([(f"file://{tmp_path}/{name}", n)], "uri string, records long"), expected=F.col("records"))
+    assert of("a.warc.gz", 3).count() == 3
+    for name, n in (("a.warc.gz", 4), ("b.warc.gz", 2)):
+        with pytest.raises(Exception, match="were written"):
+            of(name, n).collect()
+
+
+def test_headers_of_any_length(tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "CHUNK", 1 << 12)
+    made = [warc.record("response", f"<urn:page:{i}>", "http://h/" + "x" * n, "d", 1, b"a", None, "2024-01-01T00:00:00Z") for i, n in enumerate((10, 2_500_000, 10))]
+    (tmp_path / "a.warc").write_bytes(b"".join(map(gzip.decompress, made)))
+    assert [f.headers["warc-record-id"] for f in salvage(tmp_path / "a.warc")] == [f"<urn:page:{i}>" for i in range(3)]
 
 
 TEXTS = st.lists(st.sampled_from(["\\", "#", "###", "</turn>", "\n", "### User: ", "a", "é", ":", "<", "/turn>"]), max_size=12).map("".join) | st.text(max_size=20)
@@ -194,3 +279,10 @@ def test_chain_of_any_length_and_cycles_beside_it(spark):
     loop = spark.createDataFrame([("t", n + 1, n + 2, 9.0), ("t", n + 2, n + 1, 9.0), ("t", n + 3, n + 1, 9.0), ("u", 1, 2, 0.0), ("u", 2, 1, 0.0), ("u", 3, 2, 0.0)], "tree string, node long, parent long, score double")
     got = chat.branches(chain.unionByName(loop), Scratch(spark, "test"), best=None)
     assert got.agg(F.count("*"), F.countDistinct("node"), F.max("back"), F.min("leaf"), F.max("leaf")).first() == (n, n, n - 1, n - 1, n - 1)
+
+
+def test_chat_rows_with_other_columns_and_a_long_text(spark):
+    rows = [("t", 1, None, "user", "x" * 2_000_000, 0.0), ("t", 2, 1, "assistant", "</turn>" * 1000, 0.0)]
+    df = spark.createDataFrame(rows, TREE).select("*", *(F.lit(1).alias(n) for n in ("up", "leaf", "back", "rank", "turns", "jumps")))
+    made = chat.format_trees(df, tree=F.col("tree"), node=F.col("node"), parent=F.col("parent"), role=F.col("role"), text=F.col("text"))
+    assert [[len(t.text) for t in r.turns] for r in chat.read_back(made).collect()] == [[2_000_000, 7000]]

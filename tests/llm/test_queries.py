@@ -105,6 +105,14 @@ def test_op7(spark, documents):
     assert np.mean(clean) > 0.95
 
 
+def test_op7_finds_held_out_toxic_documents(spark):
+    folder = SF.replace("0.001", "0.1")
+    labels = dict(duckdb.sql(f"SELECT doc_id, toxic FROM '{folder}/labels.parquet'").fetchall())
+    held = [r for r in corpus.op7_sentence_toxicity(spark, folder).collect() if r.held_out and r.doc_id in labels]
+    assert np.mean([r.predicted for r in held if labels[r.doc_id] == 1]) > 0.85
+    assert np.mean([1 - r.predicted for r in held if labels[r.doc_id] == 0]) > 0.98
+
+
 def test_pipeline_stage_by_stage(spark, documents, token_ids, tmp_path):
     docs, kept, mixed = spark.read.parquet(f"{SF}/documents.parquet"), None, None
     source, text = {r[0]: r[3] for r in documents}, {r[0]: r[1] for r in documents}
