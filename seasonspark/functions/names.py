@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Characters of a slug and what they become. Fixed values.
+SLUG = ("+- /.", "pm_-p")
+
+
 def scene_part(name: Column, group: int) -> Column:
     """Year (group 1) or day of year (2) of a granule name ``...A<yyyy><ddd>...``; null if there is none."""
     return F.nullif(F.regexp_extract(name, r"A(\d{4})(\d{3})", group), F.lit("")).cast("int")
@@ -18,7 +22,7 @@ def date_of(year: Column, doy: Column) -> Column:
 
 
 def slug(text: Column) -> Column:
-    return F.translate(text, "+- /.", "pm_-p")
+    return F.translate(text, *SLUG)
 
 
 def coordinate_tag(lat: Column, lon: Column) -> Column:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pathlib import Path
 
-_TABLE = str.maketrans("+- /.", "pm_-p")
+from seasonspark.functions.names import SLUG
+
+_TABLE = str.maketrans(*SLUG)
 
 
 def figure_path(folder: str, stem: str, description: str) -> Path:
