@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seasonspark.functions.waveforms import holds_first, meetings
 from seasonspark.operators.series import recentred, to_arrays
 from seasonspark.operators.stats import first_peak
 
@@ -50,24 +51,22 @@ def _cyclic_gaussian(t, p):
     return c + a * np.exp(-0.5 * np.minimum(((((t - mu + 182.5) % 365) - 182.5) / sigma) ** 2, 1400))
 
 
+def _divide(x, y):
+    return np.divide(x, y, out=np.full(np.broadcast(x, y).shape, np.nan), where=y != 0)
+
+
 def _sawtooth(t, p):
     z1, d1, z2, d2, bias, scale = (p[:, i : i + 1] for i in range(6))
     m1, m2 = (1 / np.where(np.abs(d) < 1e-9, 1e-9, d) for d in (d1, d2))
     z1, z2 = z1 % 365, z2 % 365
-    half = 182.5
-    ratio, lead = m2 / m1, (z1 - z2) % 365
-    gap = np.where(np.abs(1 - ratio) < 1e-12, 1e-12, 1 - ratio)
-    before, beyond = (ratio * lead + half * (1 - ratio)) / gap, (ratio * lead + half * (1 - 3 * ratio)) / gap
-    both = (before >= 0) & (before < 365 - lead) & (beyond >= 365 - lead) & (beyond < 365)
-    a, b = (z1 + half + before) % 365, (z1 + half + beyond) % 365
-    first, second = np.where(both, np.minimum(a, b), 0.0), np.where(both, np.maximum(a, b), half)
+    both, (a, b) = meetings(z1, m1, z2, m2, 365.0, np.mod, _divide)
+    first, second = np.where(both, np.fmin(a, b), 0.0), np.where(both, np.fmax(a, b), 182.5)
+    on_first = holds_first(t % 365, first, second, z1, m1, 365.0, np.mod)
+    z, m = np.where(on_first, z1, z2), np.where(on_first, m1, m2)
+    return bias + scale * _sigmoid(((t - z + 182.5) % 365 - 182.5) * m)
 
-    def tooth(x, z, m):
-        return (((x - z - half) % 365) - half) * m
 
-    at = t % 365
-    on_first = ((at >= first) & (at < second)) == (tooth(first, z1, m1) < tooth(second, z1, m1))
-    return bias + scale * _sigmoid(np.where(on_first, tooth(t, z1, m1), tooth(t, z2, m2)))
+# The starts and bounds of each model.
 
 
 def _guess_double_logistic(t, y):
@@ -86,6 +85,8 @@ class Model:
     starts: Callable[[np.ndarray, np.ndarray], Sequence[Sequence[float]]]
     #: Name of a parameter that is an angle in days and is returned modulo 365.
     cyclic: str | None = None
+    #: Places of an offset and a factor in which the curve is linear.
+    linear: tuple[int, int] | None = (4, 5)
 
 
 _DL = ("xmid_s", "scal_s", "xmid_a", "scal_a", "bias", "scale")
@@ -94,16 +95,17 @@ _FREE = (-INF,) * 6
 _single = lambda t, y: _guess_double_logistic(t, y)[:1]
 _peak = lambda t, y: [(np.ptp(y), t[np.argmax(y)], w, y.min()) for w in (30, 90)] + [(np.ptp(y) / 2, 182, 60, y.mean())]
 
+# Widths of less than a thousandth of a day would be steps or spikes and are kept off.
 MODELS = {
     "double_logistic": Model(_DL, _double_logistic, (0, 1e-5, 0, 1e-5, -INF, 1e-5), (365, INF, 365, INF, INF, INF), _guess_double_logistic),
     "double_logistic_free": Model(_DL, _double_logistic, _FREE, (INF,) * 6, _single),
     "double_logistic_sample": Model(_DL, _double_logistic, (0, 1, 180, 1, -2000, 0), (365, 200, 365, 200, 12000, 20000), lambda t, y: [(120, 20, 270, 20, 1000, 7000), (40, 2, 340, 10, 2000, 6000), (90, 1.2, 350, 3, 2600, 5000)]),
     "double_logistic_wrapped": Model(_DL, _double_logistic_wrapped, _FREE, (INF,) * 6, _single),
-    "tanh_sine": Model(("phase", "bias", "scale", "sharpness"), _tanh_sine, (0, 0, 0, 0.1), (365, 8000, 20000, 50), lambda t, y: [(120, 3000, 4000, 5)]),
-    "sigmoid_sine": Model(("amplitude", "steepness"), _sigmoid_sine, (-INF, -INF), (INF, INF), lambda t, y: [(1, 1)]),
-    "cyclic_gaussian": Model(("a", "mu", "sigma", "c"), _cyclic_gaussian, (0, 0, 0, -INF), (INF, 365, 365, INF), _peak, "mu"),
-    "cyclic_gaussian_point": Model(("a", "mu", "sigma", "c"), _cyclic_gaussian, (0, -365, 0, -INF), (INF, 365, 365, INF), _peak, "mu"),
-    "sawtooth": Model(_ST, _sawtooth, (-INF, 0, -INF, -INF, -INF, 1e-5), (INF, INF, INF, 0, INF, INF), lambda t, y: [(100, 50, 250, -50, y.mean(), np.ptp(y))]),
+    "tanh_sine": Model(("phase", "bias", "scale", "sharpness"), _tanh_sine, (0, 0, 0, 0.1), (365, 8000, 20000, 50), lambda t, y: [(120, 3000, 4000, 5)], linear=(1, 2)),
+    "sigmoid_sine": Model(("amplitude", "steepness"), _sigmoid_sine, (-INF, -INF), (INF, INF), lambda t, y: [(1, 1)], linear=None),
+    "cyclic_gaussian": Model(("a", "mu", "sigma", "c"), _cyclic_gaussian, (0, 0, 1e-3, -INF), (INF, 365, 365, INF), _peak, "mu", (3, 0)),
+    "cyclic_gaussian_point": Model(("a", "mu", "sigma", "c"), _cyclic_gaussian, (0, -365, 1e-3, -INF), (INF, 365, 365, INF), _peak, "mu", (3, 0)),
+    "sawtooth": Model(_ST, _sawtooth, (-INF, 1e-3, -INF, -INF, -INF, 1e-5), (INF, INF, INF, -1e-3, INF, INF), lambda t, y: [(100, 50, 250, -50, y.mean(), np.ptp(y))]),
 }
 
 
@@ -159,6 +161,65 @@ def solve(model: Model, t: np.ndarray, y: np.ndarray, used: np.ndarray, start: n
     return p, sse
 
 
+def _sse(model: Model, t: np.ndarray, y: np.ndarray, used: np.ndarray, p: np.ndarray) -> np.ndarray:
+    r = np.where(used, y - model.curve(t, p), 0.0)
+    sse = (r * r).sum(1)
+    return np.where(np.isfinite(sse), sse, INF)
+
+
+def _level(model: Model, t: np.ndarray, y: np.ndarray, used: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """``p`` with the offset and factor that fit its shape best within the bounds, where that lowers the error."""
+    if model.linear is None:
+        return p
+    offset, factor = model.linear
+    p = np.clip(p, model.low, model.high)
+    q = p.copy()
+    q[:, offset], q[:, factor] = 0.0, 1.0
+    n, shape = used.sum(1), np.where(used, model.curve(t, q), 0.0)
+    mean_x, mean_y = shape.sum(1) / n, np.where(used, y, 0.0).sum(1) / n
+    x, z = np.where(used, shape - mean_x[:, None], 0.0), np.where(used, y - mean_y[:, None], 0.0)
+    power = (x * x).sum(1)
+    slope = np.divide((x * z).sum(1), power, out=np.zeros(len(p)), where=power > 0)
+    q[:, factor] = np.clip(slope, model.low[factor], model.high[factor])
+    q[:, offset] = np.clip(mean_y - q[:, factor] * mean_x, model.low[offset], model.high[offset])
+    return np.where((_sse(model, t, y, used, q) < _sse(model, t, y, used, p))[:, None], q, p)
+
+
+def _nudged(model: Model, t: np.ndarray, y: np.ndarray, used: np.ndarray, p: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
+    """Steps along single parameters, where a bound or a kink holds the joint step up."""
+    p = _level(model, t, y, used, p)
+    sse = _sse(model, t, y, used, p)
+    for _ in range(rounds):
+        before = sse.copy()
+        for k in range(p.shape[1]):
+            for step in (-0.1, 0.1, -0.01, 0.01):
+                q = p.copy()
+                q[:, k] = np.clip(q[:, k] + step * np.maximum(np.abs(q[:, k]), 1e-6), model.low[k], model.high[k])
+                new = _sse(model, t, y, used, q)
+                better = new < sse
+                p, sse = np.where(better[:, None], q, p), np.where(better, new, sse)
+        if not (sse < before * (1 - 1e-4)).any():
+            break
+    return p, sse
+
+
+def settle(model: Model, t: np.ndarray, y: np.ndarray, used: np.ndarray, start: np.ndarray, turns: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """``solve``, and again from where the best offset and factor or single steps still lower the error by more than 1e-4."""
+    p, sse = solve(model, t, y, used, start)
+    open_ = np.arange(len(p))
+    for _ in range(turns):
+        q, new = _nudged(model, t[open_], y[open_], used[open_], p[open_])
+        moved = new < sse[open_] * (1 - 1e-4)
+        p[open_], sse[open_] = q, new
+        open_ = open_[moved]
+        if not len(open_):
+            break
+        q, new = solve(model, t[open_], y[open_], used[open_], p[open_])
+        better = new < sse[open_]
+        p[open_[better]], sse[open_[better]] = q[better], new[better]
+    return p, sse
+
+
 def covariance_quality(model: Model, t: np.ndarray, p: np.ndarray, sse: float) -> float:
     """Mean standard error of the parameters of one fit; infinite if they are not determined."""
     steps = 1e-6 * np.maximum(np.abs(p), 1e-2)
@@ -193,7 +254,7 @@ def fit_batch(model: Model, series: list[tuple[np.ndarray, np.ndarray]], least:
     starts = [model.starts(*series[i]) for i in todo]
     best, error = None, None
     for k in range(len(starts[0])):
-        p, sse = solve(model, t, y, used, np.array([s[k] for s in starts], float))
+        p, sse = settle(model, t, y, used, np.array([s[k] for s in starts], float))
         if best is None:
             best, error = p, sse
         else:
@@ -252,9 +313,13 @@ def fit(series: DataFrame, keys: Sequence[str], model: str | Model, *, obs: str
     return rows.mapInArrow(run, ddl)
 
 
-def fit_peak_centred(df: DataFrame, keys: Sequence[str], *, doy: str = "doy", value: str = "filtered", seq: Column | str = "seq") -> DataFrame:
-    """Double logistic with the days turned so that the highest sample lies mid-year; adds ``peak`` to undo it."""
+def peak_centred(df: DataFrame, keys: Sequence[str], *, doy: str = "doy", value: str = "filtered", seq: Column | str = "seq") -> DataFrame:
+    """Adds ``peak``, the day of the highest sample, and turns the days so that it lies mid-year; the samples are ``value``."""
     peaks = df.groupBy(*keys).agg(first_peak(F.col(value), F.col(doy), F.col(seq) if isinstance(seq, str) else seq).alias("peak"))
-    turned = df.join(peaks, list(keys)).withColumn("doy", recentred(F.col(doy), F.col("peak"))).withColumn("value", F.col(value))
-    fitted = fit(to_arrays(turned, [*keys, "peak"], ["doy", "value"]), [*keys, "peak"], "double_logistic_free")
-    return fitted
+    return df.join(peaks, list(keys)).withColumn("doy", recentred(F.col(doy), F.col("peak"))).withColumn("value", F.col(value))
+
+
+def fit_peak_centred(df: DataFrame, keys: Sequence[str], *, doy: str = "doy", value: str = "filtered", seq: Column | str = "seq") -> DataFrame:
+    """Double logistic of the ``peak_centred`` samples; ``peak`` undoes the turn."""
+    turned = peak_centred(df, keys, doy=doy, value=value, seq=seq)
+    return fit(to_arrays(turned, [*keys, "peak"], ["doy", "value"]), [*keys, "peak"], "double_logistic_free")

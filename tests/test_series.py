@@ -105,7 +105,7 @@ def test_fit_status_rows(spark):
 def test_spline_is_exact_on_cubics(spark):
     x = np.array([0, 1, 2.5, 4, 5, 7.0])
     f = lambda v: 1 + 2 * v - v**2 + 0.3 * v**3
-    assert not_a_knot(x, f(x))[:, 3] == pytest.approx(0.3)
+    assert not_a_knot(x, f(x)[:, None])[:, 0, 3] == pytest.approx(0.3)
     knots = spark.createDataFrame([(float(v), float(f(v))) for v in x], "x double, y double")
     asked = spark.createDataFrame([(v,) for v in (-1.0, 0.0, 0.5, 2.5, 6.0, 8.0)], "at double")
     for r in evaluate(asked, "at", knots, "x", ["y"]).collect():
@@ -115,3 +115,19 @@ def test_spline_is_exact_on_cubics(spark):
 def test_orbit_table_is_unwrapped(spark):
     omega = [r.omega for r in prepared(orbit(spark)).orderBy("kyear").collect()]
     assert np.diff(omega) == pytest.approx(np.radians(17.25))
+
+
+def test_fits_settle_where_bounds_hold_a_step_up():
+    from seasonspark.operators import fitting
+
+    rng = np.random.default_rng(0)
+    model, t = fitting.MODELS["double_logistic"], np.tile(np.arange(1, 366, 5.0), (12, 1))
+    y, used = rng.uniform(0, 9000, t.shape), np.ones(t.shape, bool)
+    start = np.tile(np.array(model.starts(t[0], y[0])[0], float), (12, 1))
+    p, sse = fitting.settle(model, t, y, used, start)
+    assert (sse <= ((y - y.mean(1, keepdims=True)) ** 2).sum(1) * 1.000001).all()
+    for k in range(6):
+        for step in (-0.01, 0.01):
+            q = p.copy()
+            q[:, k] = np.clip(q[:, k] + step * np.abs(q[:, k]), model.low[k], model.high[k])
+            assert (((y - model.curve(t, q)) ** 2).sum(1) >= 0.999 * sse).all()
