@@ -90,6 +90,19 @@ ELEMENTS_SQL = """elements AS (
   SELECT range::INT AS kyear, 0.02::DOUBLE + 0.015::DOUBLE * sin(range / 11.0::DOUBLE) AS ecc, radians(23.4::DOUBLE + 0.9::DOUBLE * cos(range / 7.0::DOUBLE)) AS eps_rad,
     radians(200.5::DOUBLE + 17.25::DOUBLE * range) AS omega_rad FROM range(40))"""
 
+#: The knots of ``orbit``, and second derivatives of the not-a-knot splines through them: evenly spaced, the
+#: second knot's is a sixth of its right side, as is the last but one's; between them runs a tridiagonal sweep.
+SPLINE_SQL = """knots AS (SELECT range AS k, 0.02::DOUBLE + 0.015::DOUBLE * sin(range / 11.0::DOUBLE) AS e, radians(200.5::DOUBLE + 17.25::DOUBLE * range) AS w, 23.4::DOUBLE + 0.9::DOUBLE * cos(range / 7.0::DOUBLE) AS p FROM range(60)),
+sides AS MATERIALIZED (SELECT b.k, 6 * (c.e - 2 * b.e + a.e) AS e, 6 * (c.w - 2 * b.w + a.w) AS w, 6 * (c.p - 2 * b.p + a.p) AS p FROM knots b JOIN knots a ON a.k = b.k - 1 JOIN knots c ON c.k = b.k + 1),
+down AS (SELECT k, 0.0::DOUBLE AS c, e / 6 AS e, w / 6 AS w, p / 6 AS p FROM sides WHERE k = 1
+  UNION ALL SELECT s.k, 1 / (4 - d.c), (s.e - d.e) / (4 - d.c), (s.w - d.w) / (4 - d.c), (s.p - d.p) / (4 - d.c) FROM down d JOIN sides s ON s.k = d.k + 1 WHERE s.k < 58),
+up AS (SELECT k, e / 6 AS e, w / 6 AS w, p / 6 AS p FROM sides WHERE k = 58
+  UNION ALL SELECT d.k, d.e - d.c * u.e, d.w - d.c * u.w, d.p - d.c * u.p FROM up u JOIN down d ON d.k = u.k - 1),
+bent AS (SELECT * FROM up UNION ALL SELECT 0, 2 * a.e - b.e, 2 * a.w - b.w, 2 * a.p - b.p FROM up a, up b WHERE a.k = 1 AND b.k = 2
+  UNION ALL SELECT 59, 2 * a.e - b.e, 2 * a.w - b.w, 2 * a.p - b.p FROM up a, up b WHERE a.k = 58 AND b.k = 57),
+pieces AS (SELECT y.k, """ + ", ".join(f"y.{c} AS {c}0, z.{c} - y.{c} - (2 * m.{c} + n.{c}) / 6 AS {c}1, m.{c} / 2 AS {c}2, (n.{c} - m.{c}) / 6 AS {c}3" for c in "ewp") + """
+  FROM knots y JOIN knots z ON z.k = y.k + 1 JOIN bent m ON m.k = y.k JOIN bent n ON n.k = y.k + 1)"""
+
 #: Daily insolation and longitude of ``days(kyear, day, lat, ecc, eps_rad, omega_rad)``.
 INSOLATION_SQL = """sun AS (
   SELECT *, -2 * ((ecc/2 + ecc*ecc*ecc/8) * (1 + sqrt(1 - ecc*ecc)) * sin(-omega_rad) - ecc*ecc/4 * (0.5 + sqrt(1 - ecc*ecc)) * sin(-2*omega_rad)

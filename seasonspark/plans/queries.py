@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -326,11 +327,11 @@ def _tooth(x: str, z: str, m: str) -> str:
 
 
 _SAWTOOTH_SQL = f"""WITH e AS (SELECT event_id, {_T} AS t, {_mod('100.0::DOUBLE + event_id % 13')} AS z1, {_mod('250.0::DOUBLE - event_id % 17')} AS z2, 1 / 50.0::DOUBLE AS m1, -1 / (40.0::DOUBLE + event_id % 20) AS m2 FROM events),
-g AS (SELECT *, m2 / m1 AS q, {_mod('z1 - z2')} AS lead FROM e),
-x AS (SELECT *, (q * lead + 182.5 * (1 - q)) / (1 - q) AS t1, (q * lead + 182.5 * (1 - 3 * q)) / (1 - q) AS t2 FROM g),
-c AS (SELECT *, t1 >= 0 AND t1 < 365 - lead AND t2 >= 365 - lead AND t2 < 365 AS two, {_mod('z1 + 182.5 + t1')} AS a, {_mod('z1 + 182.5 + t2')} AS b FROM x),
+g AS (SELECT *, {_mod('z2 - z1')} AS way FROM e),
+x AS (SELECT *, way * m2 / (m2 - m1) AS a1, (way - 365) * m2 / (m2 - m1) AS a2 FROM g),
+c AS (SELECT *, greatest(abs(a1), abs(a2), abs(a1 - way), abs(a2 - way + 365)) < 182.5 AS two, {_mod('z1 + a1')} AS a, {_mod('z1 + a2')} AS b, {_mod('z1 + 182.5')} AS jump FROM x),
 d AS (SELECT *, CASE WHEN two THEN least(a, b) ELSE 0 END AS c1, CASE WHEN two THEN greatest(a, b) ELSE 182.5 END AS c2 FROM c),
-f AS (SELECT *, ({_mod('t')} >= c1 AND {_mod('t')} < c2) = ({_tooth('c1', 'z1', 'm1')} < {_tooth('c2', 'z1', 'm1')}) AS first FROM d),
+f AS (SELECT *, ({_mod('t')} >= c1 AND {_mod('t')} < c2) <> (jump > c1 AND jump <= c2) AS first FROM d),
 s AS (SELECT *, {_sigma(f"CASE WHEN first THEN {_tooth('t', 'z1', 'm1')} ELSE {_tooth('t', 'z2', 'm2')} END")} AS s, CASE WHEN first THEN m1 ELSE m2 END AS m FROM f)"""
 
 
@@ -461,18 +462,33 @@ def orbit_lookup(spark, sf_dir):
     return orbit.lookup(asked, "kyear", dense).select("event_id", r("ecc").alias("ecc"))
 
 
-@query()
+_AT = "least(greatest(floor(kyear), 0), 58)"
+
+
+@query(f"""WITH RECURSIVE {A.SPLINE_SQL}, domain AS (SELECT range::INT AS idx, range / 10.0::DOUBLE AS kyear FROM range(501)), d AS (SELECT idx, kyear, kyear - k AS d, pieces.* FROM domain JOIN pieces ON k = {_AT})
+SELECT idx, kyear, round(e0 + d * (e1 + d * (e2 + d * e3)), 9) AS ecc, round(radians(p0 + d * (p1 + d * (p2 + d * p3))), 9) AS eps_rad, round(w0 + d * (w1 + d * (w2 + d * w3)), 9) AS omega_rad FROM d""")
 def orbit_spline(spark, sf_dir):
     table = orbit.prepared(A.orbit(spark))
     return orbit.dense(spark, table, 50).select("idx", "kyear", r("ecc", 9).alias("ecc"), r("eps_rad", 9).alias("eps_rad"), r("omega_rad", 9).alias("omega_rad"))
 
 
-@query()
+# The dense table meets the knots at whole kyears, so that SQL needs no spline here.
+@query("WITH " + A.ELEMENTS_SQL.replace("range(40)", f"range({orbit.DENSE_END + 1})") + f""", days AS (SELECT *, 172 AS day, 65.0::DOUBLE AS lat FROM elements WHERE kyear > 0), {A.INSOLATION_SQL}
+SELECT kyear::DOUBLE AS kyear, round(fsw, 3) AS fsw, round(least(fsw, 510), 3) AS clipped, round("lambda", 3) AS "lambda" FROM insolation""")
 def insolation_series(spark, sf_dir):
-    dense = orbit.dense(spark, orbit.prepared(A.orbit(spark)), 50)
-    asked = spark.range(1, 51).select(F.col("id").cast("double").alias("kyear"), F.lit(172).alias("day"))
+    """The whole analysis: midsummer at 65 degrees north over 5000 kyears."""
+    dense = orbit.dense(spark, orbit.prepared(A.orbit(spark, orbit.DENSE_END + 1)))
+    asked = spark.range(1, orbit.DENSE_END + 1).select(F.col("id").cast("double").alias("kyear"), F.lit(172).alias("day"))
     found = orbit.insolation(orbit.lookup(asked, "kyear", dense), 65)
-    return found.select("kyear", r("fsw").alias("fsw"), r(orbit.clipped(F.col("fsw"))).alias("clipped"), r("lambda").alias("lambda"))
+    return found.select("kyear", r("fsw", 3).alias("fsw"), r(orbit.clipped(F.col("fsw")), 3).alias("clipped"), r("lambda", 3).alias("lambda"))
+
+
+@query(ORACLES["insolation_dec21"].replace("SELECT p.kyear,", "SELECT p.kyear::DOUBLE AS kyear,"))
+def insolation_dec21_by_kyear(spark, sf_dir):
+    """From kyears over the dense table to the shifted calendar."""
+    asked = spark.createDataFrame([(0.0,), (9.0,), (23.0,)], "kyear double")
+    found = orbit.lookup(asked, "kyear", orbit.dense(spark, orbit.prepared(A.orbit(spark)), 50))
+    return orbit.december_calendar(found, 30).select("kyear", "place", r("fsw").alias("fsw"))
 
 
 # Goodness of fit, fits
@@ -501,83 +517,175 @@ def linear_amplitude(spark, sf_dir):
     return _processed(spark, sf_dir).groupBy("key").agg(r(F.regr_slope("filtered", shape), 4).alias("scale"), r(F.regr_intercept("filtered", shape), 4).alias("bias"))
 
 
-def _fit(df: DataFrame, model: str, value: str = "filtered", least: int = 1, doy: str = "doy") -> DataFrame:
-    arrays = series.to_arrays(df.select(*KEYS, "seq", F.col(doy).alias("doy"), F.col(value).alias("value")), KEYS, ["seq", "doy", "value"])
-    return fitting.fit(arrays, KEYS, model, least=least)
+class _Fit(NamedTuple):
+    """What is fitted: samples ``(key, seq, doy, value)``, the model and the least number of samples."""
 
+    samples: DataFrame
+    model: str
+    least: int = 1
 
-@query()
+
+def _samples(df: DataFrame, value: str = "filtered", doy: str = "doy") -> DataFrame:
+    return df.select(*KEYS, "seq", F.col(doy).alias("doy"), F.col(value).alias("value"))
+
+
+def _fitted(f: _Fit) -> DataFrame:
+    return fitting.fit(series.to_arrays(f.samples, KEYS, ["seq", "doy", "value"]), KEYS, f.model, least=f.least)
+
+
+def _sse(model: str, p: dict[str, Column]) -> Column:
+    fitted = getattr(waveforms, CURVES[model])(F.col("doy"), *p.values())
+    fitted = fitted[0] if isinstance(fitted, tuple) else fitted
+    return F.sum(F.pow(F.col("value") - fitted, F.lit(2.0)))
+
+
+#: The waveform of each model as columns, and models that are smooth in all parameters.
+CURVES = {"double_logistic": "double_logistic", "double_logistic_free": "double_logistic", "double_logistic_sample": "double_logistic", "double_logistic_wrapped": "double_logistic_wrapped", "tanh_sine": "tanh_sine", "sigmoid_sine": "sigmoid_sine", "cyclic_gaussian": "cyclic_gaussian", "cyclic_gaussian_point": "cyclic_gaussian", "sawtooth": "sigmoid_double_sawtooth"}
+SMOOTH = frozenset(CURVES) - {"double_logistic_wrapped", "sawtooth"}
+
+
+def _quality(f: _Fit) -> DataFrame:
+    """``(key, n, status, consistent, beats_flat, settled)`` of a fit against its own samples.
+
+    ``consistent``: the waveform as columns has the fit's squared error. ``beats_flat``: it is not above that of the
+    mean. ``settled``: no step of a hundredth of one parameter within the bounds lowers it by a thousandth
+    (for smooth models; else null). Null where nothing was fitted.
+    """
+    model = fitting.MODELS[f.model]
+    fits = _fitted(f).select(*KEYS, *model.names, "sse", "status")
+    good = f.samples.where("value IS NOT NULL AND doy IS NOT NULL").select(*KEYS, F.col("doy").cast("double").alias("doy"), F.col("value").cast("double").alias("value"))
+    own = {n: F.col(n) for n in model.names}
+    sums = [F.count("value").alias("n"), _sse(f.model, own).alias("again"), (F.var_pop("value") * F.count("value")).alias("flat")]
+    steps = []
+    if f.model in SMOOTH:
+        for name, low, high in zip(model.names, model.low, model.high, strict=True):
+            for step in (-0.01, 0.01):
+                moved = F.least(F.greatest(F.col(name) + step * F.greatest(F.abs(F.col(name)), F.lit(1e-6)), F.lit(float(low))), F.lit(float(high)))
+                steps.append(f"_{len(steps)}")
+                sums.append(_sse(f.model, own | {name: moved}).alias(steps[-1]))
+    every = f.samples.select(*KEYS).distinct().join(fits, KEYS, "left")
+    found = every.join(good.join(fits, KEYS).groupBy(*KEYS).agg(*sums), KEYS, "left")
+    ok = F.col("status") == "ok"
+    near = F.abs(F.col("again") - F.col("sse")) <= 1e-6 * F.col("sse") + 1e-9
+    settled = F.least(*steps) >= 0.999 * F.col("sse") - 1e-9 if steps else F.lit(None).cast("boolean")
+    return found.select(long("key").alias("key"), F.coalesce("n", F.lit(0)).alias("n"), "status", F.when(ok, near).alias("consistent"), F.when(ok, F.col("sse") <= 1.000001 * F.col("flat")).alias("beats_flat"), F.when(ok, settled).alias("settled"))
+
+
+def fit_query(sql: str | None, model: str, least: int = 1, beats_flat: bool = True) -> Callable[[Callable[[SparkSession, str], _Fit]], Callable]:
+    """Registers a fit, and beside it its quality with SQL over ``samples(key, value)``."""
+
+    def add(f: Callable[[SparkSession, str], _Fit]) -> Callable:
+        name = f.__name__
+
+        def fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return _fitted(f(spark, sf_dir))
+
+        def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return _quality(f(spark, sf_dir))
+
+        fit.__name__, quality.__name__, fit.__doc__ = name, f"{name}_quality", f.__doc__
+        QUERIES[name], QUERIES[quality.__name__] = fit, quality
+        if sql:
+            status = f"CASE WHEN n < {max(1, least)} THEN 'few' WHEN low = high THEN 'degenerate' ELSE 'ok' END"
+            settled = "true" if model in SMOOTH else "NULL::BOOLEAN"
+            ORACLES[quality.__name__] = f"""WITH {sql}, counted AS (SELECT key, count(value) AS n, min(value) AS low, max(value) AS high FROM samples GROUP BY key)
+SELECT key::BIGINT AS key, n::BIGINT AS n, {status} AS status, CASE WHEN {status} = 'ok' THEN true END AS consistent, CASE WHEN {status} = 'ok' THEN {str(beats_flat).lower()} END AS beats_flat, CASE WHEN {status} = 'ok' THEN {settled} END AS settled FROM counted"""
+        return f
+
+    return add
+
+
+def _filtered_sql(where: str = "true") -> str:
+    return f"{A.CLEAN_SQL}, samples AS (SELECT key, filtered AS value FROM filtered WHERE {where})"
+
+
+_REGION_SQL = f"""{A.SERIES_SQL}, based AS (SELECT *, quantile_cont(ndvi, 0.025) OVER (PARTITION BY key) AS base FROM series),
+raised AS (SELECT *, CASE WHEN ndvi < base OR (ndvi IS NULL AND (doy >= 300 OR doy <= 60)) THEN base ELSE ndvi END AS c FROM based),
+near AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN c ELSE lag(c) OVER w END AS a, CASE WHEN row_number() OVER v = 1 THEN c ELSE lead(c) OVER w END AS b FROM raised
+  WINDOW w AS (PARTITION BY key ORDER BY ts, id), v AS (PARTITION BY key ORDER BY ts DESC, id DESC)),
+samples AS (SELECT key, CASE WHEN (a IS NULL)::INT + (b IS NULL)::INT + (c IS NULL)::INT < 2 THEN list_sort([a, b, c], 'ASC', 'NULLS LAST')[2] END AS value FROM near WHERE year BETWEEN 1996 AND 2000)"""
+
+
+@fit_query(_REGION_SQL, "double_logistic", least=100)
 def fit_double_logistic(spark, sf_dir):
     """The regional fit: winter gaps alone are filled, several starts, at least 100 samples."""
     df = series.region_cleaned(A.series(spark, sf_dir), KEYS, ORDER)
-    return _fit(df.where(F.col("year").between(1996, 2000)), "double_logistic", least=100)
+    return _Fit(_samples(df.where(F.col("year").between(1996, 2000))), "double_logistic", 100)
 
 
-@query()
+@fit_query(_filtered_sql("year = 1997"), "double_logistic_free")
 def fit_double_logistic_year(spark, sf_dir):
-    return _fit(_processed(spark, sf_dir).where("year = 1997"), "double_logistic_free")
+    return _Fit(_samples(_processed(spark, sf_dir).where("year = 1997")), "double_logistic_free")
 
 
-@query()
+@fit_query(_filtered_sql("year BETWEEN 1996 AND 2000"), "double_logistic_free")
 def fit_double_logistic_years(spark, sf_dir):
-    return _fit(_processed(spark, sf_dir).where(F.col("year").between(1996, 2000)), "double_logistic_free")
+    return _Fit(_samples(_processed(spark, sf_dir).where(F.col("year").between(1996, 2000))), "double_logistic_free")
 
 
-@query()
+@fit_query(_filtered_sql(), "double_logistic_free")
 def fit_peak_centred(spark, sf_dir):
-    return fitting.fit_peak_centred(_processed(spark, sf_dir), KEYS)
+    return _Fit(fitting.peak_centred(_processed(spark, sf_dir), KEYS).select(*KEYS, "seq", "doy", "value"), "double_logistic_free")
 
 
 @query()
+def fit_peak_centred(spark, sf_dir):  # noqa: F811
+    """With the day of the peak, which undoes the turn."""
+    return fitting.fit_peak_centred(_processed(spark, sf_dir), KEYS)
+
+
+@fit_query(_filtered_sql("year = 1997"), "double_logistic_wrapped")
 def fit_wrapped(spark, sf_dir):
-    return _fit(_processed(spark, sf_dir).where("year = 1997"), "double_logistic_wrapped")
+    return _Fit(_samples(_processed(spark, sf_dir).where("year = 1997")), "double_logistic_wrapped")
 
 
-@query()
+@fit_query(_filtered_sql("year BETWEEN 1996 AND 2000"), "double_logistic_wrapped")
 def fit_wrapped_years(spark, sf_dir):
-    return _fit(_processed(spark, sf_dir).where(F.col("year").between(1996, 2000)), "double_logistic_wrapped")
+    return _Fit(_samples(_processed(spark, sf_dir).where(F.col("year").between(1996, 2000))), "double_logistic_wrapped")
 
 
-@query()
+@fit_query(_filtered_sql(), "cyclic_gaussian", least=5)
 def fit_cyclic_gaussian(spark, sf_dir):
-    return _fit(_processed(spark, sf_dir), "cyclic_gaussian", least=5)
+    return _Fit(_samples(_processed(spark, sf_dir)), "cyclic_gaussian", 5)
 
 
-@query()
+@fit_query(_filtered_sql("key = 7"), "cyclic_gaussian_point")
 def fit_cyclic_gaussian_point(spark, sf_dir):
-    return _fit(_processed(spark, sf_dir).where("key = 7"), "cyclic_gaussian_point")
+    return _Fit(_samples(_processed(spark, sf_dir).where("key = 7")), "cyclic_gaussian_point")
 
 
-@query()
+@fit_query(_filtered_sql(), "sawtooth")
 def fit_sawtooth(spark, sf_dir):
-    return _fit(_processed(spark, sf_dir, fill="none"), "sawtooth")
+    return _Fit(_samples(_processed(spark, sf_dir, fill="none")), "sawtooth")
 
 
-@query()
+@fit_query(_filtered_sql(), "sawtooth")
 def fit_sawtooth_scaled(spark, sf_dir):
-    return _fit(_processed(spark, sf_dir, fill="none", scale=True), "sawtooth", "scaled")
+    return _Fit(_samples(_processed(spark, sf_dir, fill="none", scale=True), "scaled"), "sawtooth")
+
+
+_LITERAL_SQL = "samples AS (SELECT 0 AS key, unnest([" + ", ".join(map(str, text.SAMPLE)) + "])::DOUBLE AS value)"
 
 
 def _sample(spark: SparkSession) -> DataFrame:
     return text.sample(spark).select(F.lit(0).alias("key"), F.col("doy").alias("seq"), "doy", F.col("ndvi").alias("value"))
 
 
-@query()
+@fit_query(_LITERAL_SQL, "double_logistic_sample")
 def fit_sample_logistic(spark, sf_dir):
-    return _fit(_sample(spark), "double_logistic_sample", "value")
+    return _Fit(_sample(spark), "double_logistic_sample")
 
 
-@query()
+@fit_query(_LITERAL_SQL, "tanh_sine")
 def fit_tanh_sine(spark, sf_dir):
-    return _fit(_sample(spark), "tanh_sine", "value")
+    return _Fit(_sample(spark), "tanh_sine")
 
 
-@query()
+@fit_query("samples AS (SELECT 0 AS key, range AS value FROM range(200))", "sigmoid_sine")
 def fit_sigmoid_sine(spark, sf_dir):
     """Recovers amplitude 2.5 and steepness 4 from noisy points on [0, 4 pi]."""
     x = text.spaced(spark, 0.0, 4 * math.pi, 200)
-    df = x.select(F.lit(0).alias("key"), F.col("x").alias("seq"), F.col("x").alias("doy"), (waveforms.sigmoid_sine(F.col("x"), 2.5, 4) + 0.1 * F.randn(42)).alias("value"))
-    return _fit(df, "sigmoid_sine", "value")
+    return _Fit(x.select(F.lit(0).alias("key"), F.col("x").alias("seq"), F.col("x").alias("doy"), (waveforms.sigmoid_sine(F.col("x"), 2.5, 4) + 0.1 * F.randn(42)).alias("value")), "sigmoid_sine")
 
 
 # Names, listings, intake
