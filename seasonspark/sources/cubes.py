@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from typing import IO
+from zipfile import ZIP_DEFLATED, ZipFile
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.format import read_array_header_1_0, read_array_header_2_0, read_magic, write_array_header_1_0
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from seasonspark.sources.schemas import FIT_PARAMS, GAUSSIAN_PARAMS, assert_schema
@@ -26,22 +31,30 @@ class _NpzReader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
 
-    def _cube(self) -> np.ndarray:
-        with np.load(self.path) as data:
-            key = next((k for k in KEYS if k in data), None)
+    @contextmanager
+    def _open(self) -> Iterator[tuple[IO[bytes], tuple[int, ...], np.dtype]]:
+        """The stream of the cube's values behind its header, its shape and type; nothing is loaded."""
+        with ZipFile(self.path) as files:
+            key = next((k for k in KEYS if f"{k}.npy" in files.namelist()), None)
             if key is None:
                 raise ValueError(f"{self.path} has none of {KEYS}")
-            cube = data[key]
-        if cube.ndim != 3 or cube.shape[2] < 6:
-            raise ValueError(f"{self.path}: a cube of rows, columns and at least six channels is needed")
-        return cube
+            with files.open(f"{key}.npy") as stream:
+                header = read_array_header_1_0 if read_magic(stream) == (1, 0) else read_array_header_2_0
+                shape, fortran, kind = header(stream)
+                if len(shape) != 3 or shape[2] < 6 or fortran:
+                    raise ValueError(f"{self.path}: a cube of rows, columns and at least six channels in C order is needed")
+                yield stream, shape, kind
 
     def partitions(self) -> Sequence[InputPartition]:
-        rows = self._cube().shape[0]
-        return [_Rows(i, min(i + ROWS_PER_PART, rows)) for i in range(0, rows, ROWS_PER_PART)]
+        with self._open() as (_, shape, _kind):
+            return [_Rows(i, min(i + ROWS_PER_PART, shape[0])) for i in range(0, shape[0], ROWS_PER_PART)]
 
     def read(self, partition: _Rows) -> Iterator[pa.RecordBatch]:
-        cube = self._cube()[partition.first : partition.last].astype(float)
+        with self._open() as (stream, shape, kind):
+            row = shape[1] * shape[2] * kind.itemsize
+            stream.seek(stream.tell() + partition.first * row)
+            rows = partition.last - partition.first
+            cube = np.frombuffer(stream.read(rows * row), kind).reshape(rows, *shape[1:]).astype(float)
         rows, cols, channels = cube.shape
         flat = cube.reshape(rows * cols, channels)
         at = [pa.array(np.repeat(np.arange(partition.first, partition.last, dtype=np.int32), cols)), pa.array(np.tile(np.arange(cols, dtype=np.int32), rows))]
@@ -68,15 +81,22 @@ def read_npz(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("npz_cube").load(path)
 
 
-def write_npz(params: DataFrame, path: str, key: str = KEYS[0], most_cells: int = 4_000_000) -> None:
-    """Export for array tools, on the driver and so for grids of at most ``most_cells`` cells."""
-    rows = assert_schema(params, FIT_PARAMS).limit(most_cells + 1).toPandas()
-    if len(rows) > most_cells:
-        raise ValueError(f"more than {most_cells} cells; write Parquet instead")
-    shape = (int(rows.row.max()) + 1, int(rows.col.max()) + 1, len(CHANNELS)) if len(rows) else (0, 0, len(CHANNELS))
-    cube = np.full(shape, np.nan, np.float32)
-    cube[rows.row, rows.col] = rows[list(CHANNELS)].to_numpy(float)
-    np.savez_compressed(path, **{key: cube})
+def write_npz(params: DataFrame, path: str, key: str = KEYS[0], band_cells: int = 1_000_000) -> None:
+    """Export for array tools: a float32 cube of the whole grid, NaN where there is no row.
+
+    The driver writes bands of about ``band_cells`` cells one after the other and holds one at a time.
+    """
+    params = assert_schema(params, FIT_PARAMS)
+    last = params.agg(F.max("row").alias("row"), F.max("col").alias("col")).first()
+    rows, cols = (0, 0) if last.row is None else (last.row + 1, last.col + 1)
+    band = max(1, band_cells // max(1, cols))
+    with ZipFile(path, "w", ZIP_DEFLATED) as files, files.open(f"{key}.npy", "w", force_zip64=True) as stream:
+        write_array_header_1_0(stream, {"descr": "<f4", "fortran_order": False, "shape": (rows, cols, len(CHANNELS))})
+        for first in range(0, rows, band):
+            part = params.where(F.col("row").between(first, first + band - 1)).toPandas()
+            cube = np.full((min(band, rows - first), cols, len(CHANNELS)), np.nan, "<f4")
+            cube[part.row - first, part.col] = part[list(CHANNELS)].to_numpy(float)
+            stream.write(cube.tobytes())
 
 
 def write_params(params: DataFrame, path: str) -> None:

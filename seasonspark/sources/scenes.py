@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -73,7 +74,7 @@ class _File(InputPartition):
 
 
 class _GridReader(DataSourceReader):
-    """One partition per file; subclasses turn a file into named 2-D layers."""
+    """One partition per file."""
 
     def __init__(self, options: dict):
         self.paths = [p for p in options.get("paths", options.get("path", "")).split(",") if p]
@@ -81,19 +82,45 @@ class _GridReader(DataSourceReader):
     def partitions(self) -> Sequence[InputPartition]:
         return [_File(p) for p in self.paths]
 
-    def grids(self, path: str) -> Iterator[tuple[str, dict[str, np.ndarray]]]:
-        raise NotImplementedError
+
+def read_granule(path: str) -> dict[str, np.ndarray]:
+    """The two layers of an HDF4 granule."""
+    try:
+        from pyhdf.SD import SD, SDC
+    except ImportError as e:
+        raise ImportError("HDF4 granules take the package pyhdf") from e
+    granule = SD(path, SDC.READ)
+    try:
+        return {k: granule.select(name)[:] for k, name in LAYERS.items()}
+    finally:
+        granule.end()
+
+
+def readable(path: str, strict: bool, read=read_granule) -> dict[str, np.ndarray] | None:
+    """A granule's layers; of one that cannot be read or whose layers differ in shape, an error if ``strict``, else a warning and None."""
+    try:
+        layers = read(path)
+        if len({layer.shape for layer in layers.values()}) != 1 or layers["ndvi"].ndim != 2:
+            raise ValueError(f"{path}: the layers are not of one shape")
+        return layers
+    except ImportError:
+        raise
+    except Exception as e:
+        if strict:
+            raise
+        warnings.warn(f"{path} is left out: {e}", stacklevel=2)
+        return None
 
 
 class _HdfReader(_GridReader):
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.strict = options.get("strict", "false").lower() == "true"
+
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
-        try:
-            from pyhdf.SD import SD, SDC
-        except ImportError as e:
-            raise ImportError("HDF4 granules take the package pyhdf") from e
-        granule = SD(partition.path, SDC.READ)
-        layers = {k: granule.select(name)[:] for k, name in LAYERS.items()}
-        granule.end()
+        layers = readable(partition.path, self.strict)
+        if layers is None:
+            return
         scene = partition.path.rpartition("/")[2].rpartition(".")[0]
         rows, cols = layers["ndvi"].shape
         for r in range(rows):
@@ -104,7 +131,8 @@ class _HdfReader(_GridReader):
 
 
 class Hdf4Scenes(DataSource):
-    """``spark.read.format("hdf4_scenes").option("paths", "a.hdf,b.hdf")``: ``scene_layer`` rows."""
+    """``spark.read.format("hdf4_scenes").option("paths", "a.hdf,b.hdf")``: ``scene_layer`` rows. Unreadable granules
+    are left out with a warning, or fail the job with ``option("strict", "true")``."""
 
     @classmethod
     def name(cls) -> str:

@@ -96,3 +96,32 @@ def test_stream_of_scenes(spark, tmp_path):
     q.stop()
     got = spark.table("composites").first()
     assert (got.cells, got.valid, got.ndvi) == (3, 2, 6.0)
+
+
+def test_unreadable_granules_are_left_out():
+    from seasonspark.sources.scenes import readable
+
+    good = {"ndvi": np.zeros((2, 3)), "reliability": np.zeros((2, 3))}
+    assert readable("a.hdf", False, lambda p: good) is good
+    for broken in ({**good, "ndvi": np.zeros((2, 2))}, {"ndvi": np.zeros(3), "reliability": np.zeros(3)}):
+        with pytest.warns(UserWarning, match="left out"):
+            assert readable("a.hdf", False, lambda p, b=broken: b) is None
+        with pytest.raises(ValueError):
+            readable("a.hdf", True, lambda p, b=broken: b)
+
+
+def test_cubes_are_read_and_written_in_bands(spark, tmp_path):
+    from seasonspark.sources import cubes
+
+    cube = np.arange(150 * 7 * 8, dtype=np.float32).reshape(150, 7, 8)
+    cube[3, 2] = np.nan
+    for save, kind in ((np.savez, "f4"), (np.savez_compressed, "f8")):
+        save(tmp_path / "a.npz", ndvi_fit_params=cube.astype(kind))
+        df = cubes.read_npz(spark, str(tmp_path / "a.npz"))
+        assert df.count() == 150 * 7 and df.where("xmid_s IS NULL").count() == 1
+        cubes.write_npz(df, str(tmp_path / "b.npz"), band_cells=70)
+        with np.load(tmp_path / "b.npz") as back:
+            assert np.array_equal(back[cubes.KEYS[0]], cube, equal_nan=True)
+    cubes.write_npz(df.where("row < 0"), str(tmp_path / "c.npz"))
+    with np.load(tmp_path / "c.npz") as back:
+        assert back[cubes.KEYS[0]].shape == (0, 0, 8)
