@@ -15,8 +15,8 @@ from seasonspark.llm.tokens import encoder, in_slices
 
 K1, B = 1.2, 0.75
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Neighbours that are sorted at once, and successive ids that are hashed together for dealing.
-FIRST, RUN = 64, 4
+#: Neighbours that are sorted at once, successive ids that are hashed together for dealing, and ids of a task.
+FIRST, RUN, TASK_TOKENS = 64, 4, 1 << 22
 SCHEMA = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())]
 )
@@ -146,8 +146,10 @@ def _encoded(tokenizer: str, end_id: int):
             at = 0
             for texts in in_slices(t.as_py() or b"" for t in batch.column(1).cast(pa.binary())):
                 data = [d + end for d in encode(texts)]
-                keys = [lexical_key(np.frombuffer(d, "<u4")) for d in data]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(data)).cast(pa.int64()), pa.array(keys, pa.int64()), pa.array(data, pa.binary())], names=["id", "key", "ids"])
+                ids = [np.frombuffer(d, "<u4") for d in data]
+                slim = [x.astype("<u2").tobytes() if x.max() < 1 << 16 else d for x, d in zip(ids, data, strict=True)]
+                keys, sizes = pa.array([lexical_key(x) for x in ids], pa.int64()), pa.array([len(x) for x in ids], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(data)).cast(pa.int64()), keys, sizes, pa.array(slim, pa.binary())], names=["id", "key", "n", "ids"])
                 at += len(data)
 
     return run
@@ -159,8 +161,8 @@ def pack(
     """Pieces ``(doc_id, start, length, doc_tokens, sequence_id, offset, ids)`` of packed sequences.
 
     Every document is its token ids and ``end_id`` (a null or empty text: that id alone). Documents are dealt by
-    ``lexical_key``, so that like ones meet wherever they stood; a group of copies of any size is spread over the ranges
-    it takes. A task packs its range in shards of about ``shard_tokens`` ids: a seed document opens a
+    ``lexical_key``, so that like ones meet wherever they stood, to tasks of about ``TASK_TOKENS`` ids; a group of copies
+    of any size is spread over the ranges it takes. A task packs its range in shards of about ``shard_tokens`` ids: a seed document opens a
     window, the unused documents most like it by BM25 (all its terms, or its ``query_terms`` rarest shared ones)
     fill it, and the one that is cut seeds the next. What has no score is tried with the next shard. A task's last
     window is split into sequences whose lengths are powers of two, so nothing is padded.
@@ -174,10 +176,10 @@ def pack(
         windows = Windows(window, TaskContext.get().partitionId() << 40)
         shard, size = [], 0
         for batch in batches:
-            for i, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for i, n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 data = data.as_py()
-                shard.append((i, data, len(data) // 4))
-                size += len(data) // 4
+                shard.append((i, data if len(data) == 4 * n else np.frombuffer(data, "<u2").astype("<u4").tobytes(), n))
+                size += n
                 if size >= shard_tokens:
                     shard = _fill(windows, shard, shard_tokens // 2, query_terms)
                     size = sum(d[2] for d in shard)
@@ -187,7 +189,8 @@ def pack(
         windows.finish()
         yield windows.batch()
 
-    rows = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_encoded(tokenizer, end_id), "id long, key long, ids binary")
+    rows = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_encoded(tokenizer, end_id), "id long, key long, n long, ids binary")
     rows = Scratch(docs.sparkSession, "packing").table(rows, "tokens")
-    dealt = rows.withColumn("place", F.monotonically_increasing_id()).repartitionByRange("key", "place").sortWithinPartitions("key", "place")
-    return dealt.select("id", "ids").mapInArrow(run, DDL)
+    parts = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // TASK_TOKENS))
+    dealt = rows.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(parts, "key", "place").sortWithinPartitions("key", "place")
+    return dealt.select("id", "n", "ids").mapInArrow(run, DDL)
