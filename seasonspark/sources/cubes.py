@@ -104,5 +104,8 @@ def write_params(params: DataFrame, path: str) -> None:
     assert_schema(params, FIT_PARAMS).repartitionByRange("row", "col").sortWithinPartitions("row", "col").write.mode("overwrite").parquet(path)
 
 
-def write_gaussian(params: DataFrame, path: str) -> None:
-    assert_schema(params, GAUSSIAN_PARAMS).repartitionByRange("row", "col").sortWithinPartitions("row", "col").write.mode("overwrite").parquet(path)
+def write_gaussian(params: DataFrame, path: str, metadata: dict[str, str | int | float] | None = None) -> None:
+    """Gaussian parameters as Parquet in cell order. ``metadata`` goes with each map, as the metadata of its column."""
+    maps = assert_schema(params, GAUSSIAN_PARAMS)
+    maps = maps.select("row", "col", *(F.col(c).alias(c, metadata=metadata or {}) for c in GAUSSIAN_PARAMS.names[2:]))
+    maps.repartitionByRange("row", "col").sortWithinPartitions("row", "col").write.mode("overwrite").parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import warnings
 from collections.abc import Iterator, Sequence
 
@@ -49,9 +50,9 @@ def observations(layers: DataFrame, scenes: DataFrame) -> DataFrame:
 
 
 def catalog(df: DataFrame) -> DataFrame:
-    """``(name, type, nullable)`` of a relation's columns."""
-    fields = [(f.name, f.dataType.simpleString(), f.nullable) for f in df.schema]
-    return df.sparkSession.createDataFrame(fields, "name string, type string, nullable boolean")
+    """``(name, type, nullable, metadata)`` of a relation's columns, metadata as JSON."""
+    fields = [(f.name, f.dataType.simpleString(), f.nullable, json.dumps(f.metadata, sort_keys=True)) for f in df.schema]
+    return df.sparkSession.createDataFrame(fields, "name string, type string, nullable boolean, metadata string")
 
 
 def write_stack(stack: DataFrame, path: str, tile: int = 16) -> None:

@@ -125,3 +125,32 @@ def test_cubes_are_read_and_written_in_bands(spark, tmp_path):
     cubes.write_npz(df.where("row < 0"), str(tmp_path / "c.npz"))
     with np.load(tmp_path / "c.npz") as back:
         assert back[cubes.KEYS[0]].shape == (0, 0, 8)
+
+
+def test_maps_keep_their_metadata(spark, tmp_path):
+    rows = spark.createDataFrame([(0, 1, 1.0, 2.0, 3.0, 4.0, 0.5)], schemas.GAUSSIAN_PARAMS)
+    cubes.write_gaussian(rows, str(tmp_path / "maps"), {"source": "stack", "rows": 2})
+    listed = {r.name: r.metadata for r in scenes.catalog(spark.read.parquet(str(tmp_path / "maps"))).collect()}
+    assert listed["sigma"] == '{"rows": 2, "source": "stack"}' and listed["row"] == "{}"
+
+
+def test_command_line(spark, tmp_path):
+    from seasonspark import __main__ as cli
+
+    obs = spark.range(46).selectExpr("0 AS row", "0 AS col", "int(2001 + id % 2) AS year", "int(1 + 16 * floor(id / 2)) AS doy", "3000 + 4000 * exp(-pow((8 * id - 180) / 60.0D, 2) / 2) AS ndvi")
+    scenes.write_stack(obs, str(tmp_path / "stack"))
+    cli.main(["fit", str(tmp_path / "stack"), str(tmp_path / "fits")])
+    fit = spark.read.parquet(str(tmp_path / "fits")).first()
+    assert fit.status == "ok" and abs(fit.mu - 185) < 15 and fit.r2 > 0.95
+    cube = spark.createDataFrame([(0, 0, 120.0, 20.0, 270.0, 25.0, 1000.0, 5000.0, 0.9, 1.0)], schemas.FIT_PARAMS)
+    cubes.write_params(cube, str(tmp_path / "params"))
+    cli.main(["frames", str(tmp_path / "params"), str(tmp_path / "frames"), "--doy-step", "32", "--product", "irg"])
+    assert spark.read.parquet(str(tmp_path / "frames")).count() == 12
+    (tmp_path / "html").mkdir()
+    (tmp_path / "html" / "index.html").write_text('<a href="a.txt">a</a> <a href="b.txt">b</a> <a href="../">up</a>')
+    (tmp_path / "landed").mkdir()
+    (tmp_path / "landed" / "a.txt").write_text("x")
+    cli.main(["missing", str(tmp_path / "html"), str(tmp_path / "landed"), str(tmp_path / "todo")])
+    assert [r.filename for r in spark.read.parquet(str(tmp_path / "todo")).collect()] == ["b.txt"]
+    with pytest.raises(SystemExit):
+        cli.arguments(["fit"])
