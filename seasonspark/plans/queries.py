@@ -178,8 +178,9 @@ def time_slice(spark, sf_dir):
 SELECT year, count(DISTINCT scene_id)::BIGINT AS scenes, count(*)::BIGINT AS cells, count(CASE WHEN ndvi <> -3000 AND reliability BETWEEN 0 AND 2 THEN 1 END)::BIGINT AS valid FROM layers JOIN scene USING (scene_id) GROUP BY year""")
 def observation_stack(spark, sf_dir):
     scenes = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("scene_id"), F.year("o_orderdate").alias("year"))
-    stack = masked(A.layers(spark, sf_dir)).join(scenes, "scene_id")
-    return stack.groupBy("year").agg(F.countDistinct("scene_id").alias("scenes"), F.count("*").alias("cells"), F.count("ndvi").alias("valid"))
+    # Cells are counted per scene first, so that only slim scene rows are joined.
+    counted = masked(A.layers(spark, sf_dir)).groupBy("scene_id").agg(F.count("*").alias("cells"), F.count("ndvi").alias("valid"))
+    return counted.join(scenes, "scene_id").groupBy("year").agg(F.count("*").alias("scenes"), F.sum("cells").alias("cells"), F.sum("valid").alias("valid"))
 
 
 @query(f"""WITH {A.LAYERS_SQL}, scene AS (SELECT o_orderkey AS scene_id, year(o_orderdate)::INT AS year, dayofyear(o_orderdate)::INT AS doy FROM orders)
