@@ -97,8 +97,9 @@ def format_trees(messages: DataFrame, *, tree: Column, node: Column, parent: Col
     """``(tree, rank, conversation, loss_spans)`` of the best branches of every reply tree.
 
     Null role and text are empty. Trees are named by strings, a null name is the tree ``null``. Repeated
-    rows of one node are repeated turns, ordered by role and text. A conversation is one row: memory is
-    bounded by the longest branch. An empty table gives an empty result.
+    rows of one node are repeated turns, ordered by role and text. A conversation is one row, as its result is: it is
+    collected in one task, and memory is bounded by the longest branch, whatever its texts' lengths. Ties in score go to the
+    smaller leaf. Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
     scratch = Scratch(messages.sparkSession, "chat")
     rows = messages.select(

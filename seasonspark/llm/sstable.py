@@ -194,7 +194,9 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, *, id_col: str =
 
     Rows are range-partitioned by id and, among equal ids, by a hash of the text, so one id may hold any
     share of them. A shard is closed at about 64 MB. A task that is run again writes the same files.
-    Null text is empty; null ids come first.
+    Null text is empty; null ids come first. Very long texts are encoded and stored whole: a block holds at least one
+    document, and memory is bounded by the longest. Other columns are ignored, whatever their names. An empty table
+    gives no shard.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +227,10 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, *, id_col: str =
 
 
 def read_shards(shards: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """``(doc_id, start, ids)`` of every document in the shards; start counts the ids of all documents before it."""
+    """``(doc_id, start, ids)`` of every document in the shards; start counts the ids of all documents before it.
+
+    Shards are summed up in one task, a slim row each. No shards give an empty result. A block whose checksum fails is an error.
+    """
     spark = shards.sparkSession
     before = Window.orderBy("task", "number").rowsBetween(Window.unboundedPreceding, -1)
     files = shards.select("uri", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("first"))

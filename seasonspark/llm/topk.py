@@ -97,7 +97,9 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: float = 25
 
     Vectors that are null or hold null or non-finite components take no part; in vectors of different
     lengths, missing components are 0. Null ids are no queries and rank last among ties. Of rows with
-    equal ids that are queries, one whose vector is least speaks for the id; all are candidates.
+    equal ids that are queries, one whose vector is least speaks for the id; all are candidates. Very long vectors
+    are read whole: a task holds one block of each kind. Other columns are ignored, whatever their names. An empty
+    table, or one without queries, gives an empty result.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "topk")
     rows = vectors.select(F.col(id_col), F.col(vector_col), F.coalesce(is_query, F.lit(False)).alias("query"))

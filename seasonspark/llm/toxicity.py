@@ -143,7 +143,9 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000, max_bytes: int = 20_000) -> Model:
     """Train on a bounded sample: of the labelled rows that are ``usable``, ``per_class`` of each label by a hash
-    of the id, without texts of more than ``max_bytes``. One task trains; the model has a fixed size."""
+    of the id, without texts of more than ``max_bytes``. One task trains; the model has a fixed size. Null ids and
+    labels other than 0 and 1 do not count, of several labels of one id the greatest does, of several texts the least. With
+    one label alone, or none, the model answers 0 (or 1 if all are toxic)."""
     known = labels.where(usable & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     order = F.xxhash64(F.col(id_col))
     sample = None
@@ -163,8 +165,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, *, id_col: str = "do
 def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``offending``, code-point span and score of each sentence at 0.5 or more.
 
-    Every sentence of the whole text counts. Null, empty and wordless texts score 0 with no sentence.
-    Columns of these two names are replaced.
+    Every sentence of the whole text counts, however long it is. Null, empty and wordless texts score 0 with no sentence.
+    A sentence with a score of exactly 0.5 offends. Repeated rows score alike. Columns of these two names are replaced,
+    others kept. An empty table gives an empty result. Memory is bounded by the longest text.
     """
     docs = docs.drop("score", "offending")
     at = docs.columns.index(text_col)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seasonspark.llm import embedding_dedup, topk
+from seasonspark.llm import components, embedding_dedup, topk
 
 ROWS = "vec_id long, embedding array<float>, label int, extra string"
 
@@ -105,3 +105,21 @@ def test_top_k_of_little(spark):
     assert topk.top_k(spark.createDataFrame([(0, [1.0], 1, "e")], ROWS), query).count() == 0
     got = topk.top_k(spark.createDataFrame([(0, [1.0], 1, "e"), (7, [0.5], 1, "e"), (0, [1.0], 1, "e")], ROWS), query).collect()
     assert [tuple(r) for r in got] == [(0, 1, 7, 256 * 128)]
+
+
+def test_vectors_with_other_columns_and_a_long_one(spark):
+    rows = [(0, [1.0, 0.0], 1, "e"), (50, [1.0, 0.1], 1, "e"), (7, [0.5] * 100_000, 1, "e"), (8, [0.5] * 100_000, 1, "e")]
+    df = spark.createDataFrame(rows, ROWS)
+    wide = df.select("*", *(F.lit("x").alias(n) for n in "id key unit dim n n_links component_id kept place cell home query q c score rank ints big".split()))
+    for run in (embedding_dedup.near_vectors, lambda d: topk.top_k(d, F.col("vec_id") % 50 == 0)):
+        assert sorted(map(tuple, run(wide).collect())) == sorted(map(tuple, run(df).collect()))
+    assert {r.vec_id: r.component_id for r in embedding_dedup.near_vectors(wide).collect()} == {0: 0, 50: 0, 7: 7, 8: 7}
+
+
+def test_keys_of_many_rows_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(components, "HOT_ROWS", 10)
+    rows = spark.range(500).selectExpr("id", "CASE WHEN id % 3 > 0 THEN 'hot' WHEN id % 7 = 0 THEN null ELSE string(id % 50) END AS k")
+    per = rows.where("k is not null").groupBy("k").agg(F.max("id").alias("v"), F.count("*").alias("n"))
+    got = components.join_per_key(rows, per, "k", "n", 500)
+    assert got.columns == ["id", "k", "v"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(per.drop("n"), "k", "left").select("id", "k", "v").collect()))
