@@ -548,7 +548,7 @@ SMOOTH = frozenset(CURVES) - {"double_logistic_wrapped", "sawtooth"}
 def _quality(f: _Fit) -> DataFrame:
     """``(key, n, status, consistent, beats_flat, settled)`` of a fit against its own samples.
 
-    ``consistent``: the waveform as columns has the fit's squared error. ``beats_flat``: it is not above that of the
+    ``consistent``: the waveform as columns has the fit's squared error. ``beats_flat``: it is not above 1.0001 times that of the
     mean. ``settled``: no step of a hundredth of one parameter within the bounds lowers it by a thousandth
     (for smooth models; else null). Null where nothing was fitted.
     """
@@ -569,7 +569,7 @@ def _quality(f: _Fit) -> DataFrame:
     ok = F.col("status") == "ok"
     near = F.abs(F.col("again") - F.col("sse")) <= 1e-6 * F.col("sse") + 1e-9
     settled = F.least(*steps) >= 0.999 * F.col("sse") - 1e-9 if steps else F.lit(None).cast("boolean")
-    return found.select(long("key").alias("key"), F.coalesce("n", F.lit(0)).alias("n"), "status", F.when(ok, near).alias("consistent"), F.when(ok, F.col("sse") <= 1.000001 * F.col("flat")).alias("beats_flat"), F.when(ok, settled).alias("settled"))
+    return found.select(long("key").alias("key"), F.coalesce("n", F.lit(0)).alias("n"), "status", F.when(ok, near).alias("consistent"), F.when(ok, F.col("sse") <= 1.0001 * F.col("flat")).alias("beats_flat"), F.when(ok, settled).alias("settled"))
 
 
 def fit_query(sql: str | None, model: str, least: int = 1, beats_flat: bool = True) -> Callable[[Callable[[SparkSession, str], _Fit]], Callable]:
