@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seasonspark.functions.waveforms import holds_first, meetings
+from seasonspark.functions.waveforms import floored, holds_first, meetings, tooth
 from seasonspark.operators.series import recentred, to_arrays
 from seasonspark.operators.stats import first_peak
 
@@ -31,9 +31,14 @@ def _double_logistic(t, p):
     return bias + scale * (_sigmoid((t - xs) / ss) - _sigmoid((t - xa) / sa))
 
 
+def _mod(x, period):
+    # Not np.mod: with the roundings of the columns a sample at a jump falls on the same side there.
+    return floored(x, period, np.floor)
+
+
 def _double_logistic_wrapped(t, p):
     xs, ss, xa, sa, bias, scale = (p[:, i : i + 1] for i in range(6))
-    return bias + scale * (_sigmoid(-((t - xs) % 365) / ss) - _sigmoid(-((t - xa) % 365) / sa))
+    return bias + scale * (_sigmoid(-_mod(t - xs, 365.0) / ss) - _sigmoid(-_mod(t - xa, 365.0) / sa))
 
 
 def _tanh_sine(t, p):
@@ -48,7 +53,7 @@ def _sigmoid_sine(t, p):
 def _cyclic_gaussian(t, p):
     a, mu, sigma, c = (p[:, i : i + 1] for i in range(4))
     sigma = np.where(np.abs(sigma) < 1e-9, 1e-9, sigma)
-    return c + a * np.exp(-0.5 * np.minimum(((((t - mu + 182.5) % 365) - 182.5) / sigma) ** 2, 1400))
+    return c + a * np.exp(-0.5 * np.minimum(((_mod(t - mu + 182.5, 365.0) - 182.5) / sigma) ** 2, 1400))
 
 
 def _divide(x, y):
@@ -58,12 +63,12 @@ def _divide(x, y):
 def _sawtooth(t, p):
     z1, d1, z2, d2, bias, scale = (p[:, i : i + 1] for i in range(6))
     m1, m2 = (1 / np.where(np.abs(d) < 1e-9, 1e-9, d) for d in (d1, d2))
-    z1, z2 = z1 % 365, z2 % 365
-    both, (a, b) = meetings(z1, m1, z2, m2, 365.0, np.mod, _divide)
+    z1, z2 = _mod(z1, 365.0), _mod(z2, 365.0)
+    both, (a, b) = meetings(_mod(z1, 365.0), m1, _mod(z2, 365.0), m2, 365.0, _mod, _divide)
     first, second = np.where(both, np.fmin(a, b), 0.0), np.where(both, np.fmax(a, b), 182.5)
-    on_first = holds_first(t % 365, first, second, z1, m1, 365.0, np.mod)
+    on_first = holds_first(_mod(t, 365.0), first, second, z1, m1, 365.0, _mod)
     z, m = np.where(on_first, z1, z2), np.where(on_first, m1, m2)
-    return bias + scale * _sigmoid(((t - z + 182.5) % 365 - 182.5) * m)
+    return bias + scale * _sigmoid(tooth(t, z, 365.0, _mod) * m)
 
 
 # The starts and bounds of each model.

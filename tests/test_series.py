@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from seasonspark.functions import waveforms
 from seasonspark.operators import fitting, series
 from seasonspark.operators.orbit import evaluate, not_a_knot, prepared
 from seasonspark.sources import text
@@ -131,3 +132,19 @@ def test_fits_settle_where_bounds_hold_a_step_up():
             q = p.copy()
             q[:, k] = np.clip(q[:, k] + step * np.abs(q[:, k]), model.low[k], model.high[k])
             assert (((y - model.curve(t, q)) ** 2).sum(1) >= 0.999 * sse).all()
+
+
+def test_curves_of_fits_and_columns_agree_at_their_jumps(spark):
+    """A sample at a jump falls on the same side in both, also where rounding decides."""
+    rng = np.random.default_rng(4)
+    near = lambda at: at + 365.0 * rng.integers(-800, 800, 40) + rng.integers(-3, 4, 40) * 2.0**-37
+    day, width = rng.integers(1, 366, (2, 40)), rng.uniform(20, 400, (2, 40))
+    saw = [(166.69935020765885, 47.70475940454837, 105.50000000000003, -101.08401481332737, 0.39, 0.146)]
+    saw += list(zip(near(day[0] - 182.5), width[0], near(day[1] + 0.5), -width[1], np.zeros(40), np.ones(40), strict=True))
+    wrapped = list(zip(near(day[0]), width[0], near(day[1]), width[1], np.zeros(40), np.ones(40), strict=True))
+    t = np.arange(1, 367.0)
+    for name, curve, params in (("sawtooth", lambda *p: waveforms.sigmoid_double_sawtooth(*p)[0], saw), ("double_logistic_wrapped", waveforms.double_logistic_wrapped, wrapped)):
+        df = spark.createDataFrame([tuple(map(float, p)) for p in params], "a double, b double, c double, d double, e double, f double")
+        days = df.withColumn("i", F.monotonically_increasing_id()).withColumn("t", F.explode(F.lit(t.tolist())))
+        got = days.select("i", "t", curve(F.col("t"), *map(F.col, "abcdef")).alias("y")).orderBy("i", "t").toPandas()["y"].to_numpy().reshape(-1, len(t))
+        assert got == pytest.approx(fitting.MODELS[name].curve(t[None], np.array(params, float)), abs=1e-9)
