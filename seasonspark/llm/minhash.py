@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from seasonspark.llm.components import components, join_per_key
 from seasonspark.llm.scratch import Scratch
+from seasonspark.llm.workers import tidy
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Rows of one verification group besides its pivot, and the rows of a table that may be broadcast.
@@ -130,7 +131,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, width: int,
     small = need.count() <= BROADCAST_ROWS
     rows = texts.join(F.broadcast(need) if small else need, "id").select("a", "block", "id", "lead", "text")
     sorted_rows = rows.repartition("a", "block").sortWithinPartitions("a", "block", F.desc("lead"))
-    links = scratch.table(sorted_rows.mapInArrow(_confirm(width, percent), "u long, v long").distinct(), "links")
+    links = scratch.table(sorted_rows.mapInArrow(tidy(_confirm(width, percent)), "u long, v long").distinct(), "links")
     scratch.drop(need)
     return links
 
@@ -203,7 +204,7 @@ def _block_links(many: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: S
     small = need.count() <= BROADCAST_ROWS // 10
     rows = texts.join(F.broadcast(need) if small else need, "id").select("cluster", "i", "j", "id", "c", "k", "n", "buckets", "text")
     rows = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
-    links = scratch.table(rows.mapInArrow(_compare_blocks(width, percent), "u long, v long").distinct(), "links")
+    links = scratch.table(rows.mapInArrow(tidy(_compare_blocks(width, percent)), "u long, v long").distinct(), "links")
     scratch.drop(need, near)
     return links
 
@@ -230,7 +231,7 @@ def near_duplicates(
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketch = scratch.table(texts.mapInArrow(_sketches(width, bands, rows, seed), "id long, n long, key binary, buckets array<long>"), "sketches")
+    sketch = scratch.table(texts.mapInArrow(tidy(_sketches(width, bands, rows, seed)), "id long, n long, key binary, buckets array<long>"), "sketches")
     nodes = sketch.where("key is not null and id is not null").groupBy("key").agg(F.min(F.struct("id", "n", "buckets")).alias("x"), F.count("*").alias("copies"))
     nodes = scratch.table(nodes.select("key", "x.*", "copies"), "nodes")
     rows_of = nodes.select("id", "n", F.explode("buckets").alias("bucket"))

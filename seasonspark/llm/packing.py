@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from seasonspark.llm.scratch import Scratch
 from seasonspark.llm.tokens import encoder, in_slices
+from seasonspark.llm.workers import tidy
 
 K1, B = 1.2, 0.75
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -189,8 +190,8 @@ def pack(
         windows.finish()
         yield windows.batch()
 
-    rows = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_encoded(tokenizer, end_id), "id long, key long, n long, ids binary")
+    rows = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidy(_encoded(tokenizer, end_id), tokenizes=True), "id long, key long, n long, ids binary")
     rows = Scratch(docs.sparkSession, "packing").table(rows, "tokens")
     parts = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // TASK_TOKENS))
     dealt = rows.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(parts, "key", "place").sortWithinPartitions("key", "place")
-    return dealt.select("id", "n", "ids").mapInArrow(run, DDL)
+    return dealt.select("id", "n", "ids").mapInArrow(tidy(run), DDL)

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seasonspark.llm.workers import tidy
+
 #: Weights of hashed features, and words whose sum a worker remembers.
 DIMENSIONS, KNOWN_WORDS = 1 << 20, 150_000
 #: Evidence a feature needs and the first bias.
@@ -154,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, *, id_col: str = "do
         sample = part if sample is None else sample.unionByName(part)
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).where(F.octet_length("text") <= max_bytes).join(F.broadcast(sample), id_col)
     rows = rows.groupBy(id_col, "y").agg(F.min("text").alias("text"))  # an id may be repeated any number of times
-    row = rows.select("text", "y").repartition(1).mapInArrow(_fit, "at binary, weights binary, bias double").first()
+    row = rows.select("text", "y").repartition(1).mapInArrow(tidy(_fit), "at binary, weights binary, bias double").first()
     weights = np.zeros(DIMENSIONS, np.float32)
     if row is None:
         return Model(weights, -30.0)
@@ -184,4 +186,4 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(found, kind)], names=[*batch.schema.names, "score", "offending"])
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{columns}, score double, offending array<struct<start:long,end:long,score:double>>")
+    return docs.mapInArrow(tidy(run), f"{columns}, score double, offending array<struct<start:long,end:long,score:double>>")

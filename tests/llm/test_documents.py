@@ -426,3 +426,21 @@ def test_bands_miss_few_pairs_at_the_threshold():
             a, b = s[: union - (union - both) // 2], np.concatenate([s[:both], s[union - (union - both) // 2 :]])
             match.append((hashing.buckets(np.unique(a)) == hashing.buckets(np.unique(b))).mean())
         assert (1 - np.mean(match)) ** 40 < 1e-5
+
+
+def test_workers_drop_what_an_earlier_task_left():
+    """Spark keeps Python workers: the next stage's task does not carry the words that a tokenizing one remembers."""
+    import pyarrow as pa
+
+    from seasonspark.llm import queries, tokens, workers
+
+    def run(batches):
+        for batch in batches:
+            seen.append(len(tokens._encoders))
+            yield batch
+
+    batches, seen = [pa.RecordBatch.from_pydict({"x": [1]}), pa.RecordBatch.from_pydict({"x": [2, None]})], []
+    tokens.encoder(queries.TOKENIZER).encode([b"some words to remember"])
+    assert list(workers.tidy(run, tokenizes=True)(iter(batches))) == batches
+    assert list(workers.tidy(run)(iter(batches))) == batches
+    assert seen == [1, 1, 0, 0]
